@@ -98,7 +98,7 @@ def choose_cutoffs(counts: list[tuple[str | None, int, dict[str, list[int]]]], a
     return chosen
 
 
-def calibrate(measures_and_labels: DataFrame, stratum: str = "lang", alpha: float = 0.02, delta: float = 0.05) -> dict[str | None, dict[str, float]]:
+def calibrate(measures_and_labels: DataFrame, stratum: str = "lang", alpha: float = 0.01, delta: float = 0.05) -> dict[str | None, dict[str, float]]:
     """Cutoffs by stratum from rows with measures, ``quality`` (1 good, 0 bad) and the stratum.
 
     Documents that fail the base rules go anyway and take no part. Reaches the driver: a row per stratum.
@@ -127,14 +127,14 @@ def joined_labels(narrow: DataFrame, labels: DataFrame) -> DataFrame:
     return narrow.join(labels.select(F.col("doc_id"), F.col("quality").cast("int").alias("quality")), "doc_id")
 
 
-def judge_documents(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
+def judge_documents(docs: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
     """One row per document: doc_id, the measures, base_failed and kept."""
     narrow = materialise(measured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")).drop("text"), "quality")
     cutoffs = calibrate(joined_labels(narrow, labels), "lang", alpha, delta)
     return narrow.withColumns({"base_failed": base_failed(), "kept": verdict(cutoffs)})
 
 
-def filter_documents(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
+def filter_documents(docs: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
     """The documents that are kept, with their own columns, whatever their names."""
     narrow = measured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")).drop("text")
     cutoffs = calibrate(joined_labels(narrow, labels), "lang", alpha, delta)
