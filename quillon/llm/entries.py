@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, logbilinear, maxscore, mixing, quality, secrets, sharding, simhash, warc
+from . import bpe, logbilinear, maxscore, mixing, quality, secrets, sharding, simhash, suffixes, warc
 from .common import documents
 
 
@@ -17,6 +17,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(documents(spark, sf_dir))
+
+
 def op3_logbilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logbilinear.score_documents(documents(spark, sf_dir))
 
