@@ -5,21 +5,39 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, quality
+from quillon.llm import bpe, mixing, nearcopies, quality, secrets
 from quillon.llm.common import documents, fresh_path
 
+#: How often a document of a small source may be dealt; every document is dealt once at least.
+REPETITION = 1.25
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return quality.filter_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id stays."""
+    return nearcopies.one_of_each(docs, size=5, similarity=0.8)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Confirmed secrets are masked; n_chars is the new length."""
+    return secrets.redacted(docs, length_column="n_chars")
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at the flattest temperature weights that deal every document once and none over REPETITION times as often."""
+    return mixing.mixed(docs, repetition=REPETITION)
+
+
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of each document's ids and of the text decoded from them."""
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("quality rules", quality_rules), ("byte-level BPE", byte_bpe)]
+STAGES = [("quality rules", quality_rules), ("SimHash near-dedup", near_copies), ("secret scans", secret_scan), ("mixing sources", source_mix), ("byte-level BPE", byte_bpe)]
 
 #: Thresholds fitted on labels, similarity components and a trained forest are beyond SQL.
 ORACLE_SQL = None

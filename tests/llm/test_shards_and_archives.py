@@ -61,7 +61,7 @@ def test_every_row_gets_a_place_and_sizes_are_even(spark):
         slots[r["shard"]].append(r["slot"])
         sizes[r["shard"]] += r["size"]
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert max(sizes.values()) - min(sizes.values()) <= 15001
+    assert max(sizes.values()) - min(sizes.values()) <= 2 * 15001  # either end of a piece is off by under a row
     assert Counter(r["doc_id"] for r in found) == Counter(r[0] for r in rows())
     moved = sum(r["size"] for r in found if r["shard"] != r["old_shard"])
     old = Counter()
