@@ -37,12 +37,19 @@ READ = "page_id long, url string, payload_bytes long, payload_digest string, rec
 
 
 def with_record_types(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """page_id, url, html, digest (hex SHA-1), refers_to (null: a response)."""
-    html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
-    large = pages.select(F.col("page_id").cast("long").alias("page_id"), html.alias("html")).filter(F.octet_length("html") >= least)
-    winners = large.groupBy(F.sha1(F.col("html").cast("binary")).alias("digest")).agg(F.max("page_id").alias("winner"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "winner")
-    return rows.join(winners, "digest", "left").select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("winner")), F.col("winner")).alias("refers_to"))
+    """A row per page (page_id, url, html, digest) and, with is_page false, one per page_id and digest that is a revisit, with refers_to.
+
+    Only ids and digests are grouped and joined; write() sorts a revisit's row right before its pages, so
+    that the payloads move once.
+    """
+    html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    page_id = F.col("page_id").cast("long").alias("page_id")
+    rows = pages.select(page_id, F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html).alias("digest"), F.lit(None).cast("long").alias("refers_to"), F.lit(True).alias("is_page"))
+    large = pages.filter(F.octet_length(html) >= least).select(page_id, F.sha1(html).alias("digest"))
+    winners = large.groupBy("digest").agg(F.max("page_id").alias("winner"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "winner")
+    revisits = large.join(winners, "digest").filter(~F.col("page_id").eqNullSafe(F.col("winner"))).distinct()
+    none = F.lit(None)
+    return rows.union(revisits.select("page_id", none.cast("string").alias("url"), none.cast("binary").alias("html"), "digest", F.col("winner").alias("refers_to"), F.lit(False).alias("is_page")))
 
 
 def _name(page_id: int | None) -> str:
@@ -115,6 +122,7 @@ def write(typed: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, date: str
         done: list[dict] = []
         count = size = 0
         first = last = None
+        revisit: tuple = ()
 
         def close() -> None:
             nonlocal sink, seq, count, size
@@ -125,11 +133,15 @@ def write(typed: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, date: str
             sink, seq, count, size = None, seq + 1, 0, 0
 
         for batch in batches:
-            for page_id, url, html, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, url, html, digest, refers_to, is_page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not is_page:
+                    revisit = (page_id, digest, refers_to)
+                    continue
+                refers_to = revisit[2] if revisit[:2] == (page_id, digest) else None
                 if sink is None:
                     temporary = f"{root}/.{part:06d}-{seq:06d}.{uuid.uuid4().hex}.tmp"
                     sink, first = system.open_output_stream(temporary, compression=None), page_id
-                member = gzip.compress(record(page_id, url, html.encode(), digest, refers_to, date), 6, mtime=0)
+                member = gzip.compress(record(page_id, url, html, digest, refers_to, date), 6, mtime=0)
                 sink.write(member)
                 count, size, last = count + 1, size + len(member), page_id
                 if size >= roll_bytes:
@@ -138,8 +150,8 @@ def write(typed: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, date: str
             close()
         yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("first_page", pa.int64()), ("last_page", pa.int64())]))
 
-    ordered = typed.repartitionByRange("page_id", "digest").sortWithinPartitions("page_id", "digest", "url")
-    ordered.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
+    ordered = typed.repartitionByRange("page_id", "digest").sortWithinPartitions("page_id", "digest", "is_page", "url")
+    ordered.select("page_id", "url", "html", "digest", "refers_to", "is_page").mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
