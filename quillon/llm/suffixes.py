@@ -43,10 +43,10 @@ LENGTH, GRAM = 50, 24
 PLACES = LENGTH - GRAM + 1
 BEFORE = PLACES - 1
 BLOCK_BYTES = 4 << 20
-#: Anchors in a bucket, suffixes in a part, on average.
-BUCKET, PART = 1 << 20, 1 << 17
+#: Anchors in a bucket; anchors in all for each part, of which a part gets those that are shared.
+BUCKET, PART = 1 << 20, 1 << 18
 #: Blocks that share an anchor before its strings are sent one by one.
-CROWDED = 64
+CROWDED = 512
 CHUNK = 1 << 15
 #: Stands for a null doc_id.
 LAST = np.iinfo(np.int64).max
@@ -164,6 +164,15 @@ def keys_of(hashes: np.ndarray, bits: int) -> np.ndarray:
     return hashes >> np.uint64(32 - bits)
 
 
+def sent_keys(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Bucket, first and end of each bucket's keys in sorted distinct keys."""
+    buckets = (keys >> np.uint64(32)).astype(np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(keys)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if a < b:
+            yield int(buckets[a]), a, b
+
+
 def exchanged(blocks: DataFrame, bits: int) -> DataFrame:
     """block, answers: what the buckets (2**bits of them) answer each block."""
 
@@ -175,11 +184,7 @@ def exchanged(blocks: DataFrame, bits: int) -> DataFrame:
                 at, hashes = own.anchors()
                 copy = own.copies()
                 keys = np.unique(keys_of(hashes[~copy[np.searchsorted(own.ends, at, "right")]], bits))
-                buckets = (keys >> np.uint64(32)).astype(np.int64)
-                out = []
-                cuts = np.flatnonzero(np.diff(buckets)) + 1
-                for part, bucket in zip(np.split(keys, cuts), buckets[np.concatenate([[0], cuts])] if len(keys) else [], strict=False):
-                    out.append((int(bucket), 0, part.astype("<u4").tobytes()))
+                out = [(bucket, 0, keys[a:b].astype("<u4").tobytes()) for bucket, a, b in sent_keys(keys)]
                 texts: dict[int, list] = {}
                 for sha, doc in own.smallest.items():
                     texts.setdefault(int.from_bytes(sha[:4], "big") % (1 << bits), []).append((sha, doc))
@@ -189,6 +194,7 @@ def exchanged(blocks: DataFrame, bits: int) -> DataFrame:
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, bytes]] = []
+        bucket = int(rows["bucket"].iloc[0])
         anchors = rows[rows["kind"] == 0]
         if len(anchors):
             parts = [np.frombuffer(x, "<u4") for x in anchors["data"]]
@@ -196,15 +202,13 @@ def exchanged(blocks: DataFrame, bits: int) -> DataFrame:
             order = np.argsort(keys, kind="stable")
             first = np.concatenate([[True], np.diff(keys[order]) != 0])
             group = np.cumsum(first) - 1
-            count = np.bincount(group)[group]
-            top = np.uint64(int(anchors["bucket"].iloc[0])) << np.uint64(32)
+            count = np.empty(len(keys), np.int64)
+            count[order] = np.bincount(group)[group]
+            cuts = np.cumsum([len(p) for p in parts])[:-1]
             for kind, chosen in ((0, (count > 1) & (count < CROWDED)), (2, count >= CROWDED)):
-                picked = order[chosen]
-                picked = picked[np.argsort(owner[picked], kind="stable")]
-                cuts = np.searchsorted(owner[picked], np.arange(len(parts) + 1))
-                for i, block in enumerate(anchors["block"]):
-                    if cuts[i] < cuts[i + 1]:
-                        out.append((block, kind, (keys[picked[cuts[i] : cuts[i + 1]]].astype(np.uint64) | top).astype("<u8").tobytes()))
+                for block, own in zip(anchors["block"], np.split(chosen, cuts), strict=True):
+                    if own.any():
+                        out.append((block, kind, np.packbits(own).tobytes()))
         texts = rows[rows["kind"] == 1]
         smallest: dict[bytes, int] = {}
         held = [np.frombuffer(x, COPY).tolist() for x in texts["data"]]
@@ -215,30 +219,37 @@ def exchanged(blocks: DataFrame, bits: int) -> DataFrame:
             less = [(sha, smallest[sha]) for sha, doc in pairs if smallest[sha] < doc]
             if less:
                 out.append((block, 1, np.array(less, COPY).tobytes()))
-        return pd.DataFrame({"block": pd.Series([x[0] for x in out], dtype="int64"), "kind": pd.Series([x[1] for x in out], dtype="int32"), "data": [x[2] for x in out]})
+        return pd.DataFrame({"block": pd.Series([x[0] for x in out], dtype="int64"), "kind": pd.Series([x[1] for x in out], dtype="int32"), "bucket": pd.Series([bucket] * len(out), dtype="int64"), "data": [x[2] for x in out]})
 
     sent = blocks.mapInArrow(send, SENT)
-    answers = sent.groupBy("bucket").applyInPandas(answer, "block long, kind int, data binary")
-    return answers.groupBy("block").agg(F.collect_list(F.struct("kind", "data")).alias("answers"))
+    answers = sent.groupBy("bucket").applyInPandas(answer, "block long, kind int, bucket long, data binary")
+    return answers.groupBy("block").agg(F.collect_list(F.struct("kind", "bucket", "data")).alias("answers"))
 
 
 class Suffixes:
     """The suffixes of a block at its shared anchors, equal ones once, by part in sorted order."""
 
     def __init__(self, own: Block, answers: list[dict] | None, bits: int, parts: int):
-        by_kind = {k: [a["data"] for a in answers or [] if a["kind"] == k] for k in (0, 1, 2)}
-        for data in by_kind[1]:
-            for sha, doc in np.frombuffer(data, COPY).tolist():
-                sha = sha.ljust(16, b"\0")
-                own.smallest[sha] = min(doc, own.smallest.get(sha, LAST))
-        self.own = own
-        copy = own.copies()
         at, hashes = own.anchors()
-        doc = np.searchsorted(own.ends, at, "right")
-        at, hashes, doc = at[~copy[doc]], hashes[~copy[doc]], doc[~copy[doc]]
         keys = keys_of(hashes, bits)
-        shared = np.frombuffer(b"".join(by_kind[0]), "<u8")
-        crowded = np.isin(keys, np.frombuffer(b"".join(by_kind[2]), "<u8"))
+        doc = np.searchsorted(own.ends, at, "right")
+        # the answers are bits for the keys as they were sent
+        sent = np.unique(keys[~own.copies()[doc]])
+        places = {bucket: (a, b) for bucket, a, b in sent_keys(sent)}
+        held = {0: np.zeros(len(sent), bool), 2: np.zeros(len(sent), bool)}
+        for answer in answers or []:
+            if answer["kind"] == 1:
+                for sha, low in np.frombuffer(answer["data"], COPY).tolist():
+                    sha = sha.ljust(16, b"\0")
+                    own.smallest[sha] = min(low, own.smallest.get(sha, LAST))
+            else:
+                a, b = places[answer["bucket"]]
+                held[answer["kind"]][a:b] = np.unpackbits(np.frombuffer(answer["data"], np.uint8), count=b - a)
+        self.own = own
+        copy = own.copies()
+        at, hashes, keys, doc = (x[~copy[doc]] for x in (at, hashes, keys, doc))
+        place = np.searchsorted(sent, keys)
+        shared, crowded = held[0][place], held[2][place]
         order = np.lexsort((doc, keys))
         k, d = keys[order], doc[order]
         near = np.zeros(len(k), bool)
@@ -248,7 +259,7 @@ class Suffixes:
             near = np.isin(groups, groups[1:][same])
         local = np.zeros(len(k), bool)
         local[order] = near
-        plain = (np.isin(keys, shared) | local) & ~crowded
+        plain = (shared | local) & ~crowded
         windows = at[crowded][:, None] - np.arange(PLACES)
         owner = np.broadcast_to(doc[crowded][:, None], windows.shape)
         whole = (windows >= own.starts[owner]) & (windows + LENGTH <= own.ends[owner])
@@ -296,6 +307,7 @@ class Suffixes:
     def runs(self) -> list[tuple[int, bytes]]:
         """Part and front-coded run of each part: numbers of suffixes, shared lengths, rests, what stands before, lengths, doc_ids."""
         out = []
+        pack = zstandard.ZstdCompressor(level=3)
         cuts = np.flatnonzero(np.diff(self.kept_part)) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(self.kept)], strict=True):
             if a < b:
@@ -303,7 +315,7 @@ class Suffixes:
                 suffix, before = rows[:, 4 : 4 + LENGTH], rows[:, 4 + LENGTH : -2]
                 lcp = shared_lengths(suffix)
                 rests = suffix[np.arange(LENGTH) >= lcp[:, None]]
-                out.append((int(self.kept_part[a]), b"".join([np.array([b - a], "<u4").tobytes(), lcp.astype(np.uint8).tobytes(), rests.tobytes(), before.tobytes(), rows[:, -2:].tobytes(), self.kept_doc[a:b].astype("<i8").tobytes()])))
+                out.append((int(self.kept_part[a]), pack.compress(b"".join([np.array([b - a], "<u4").tobytes(), lcp.astype(np.uint8).tobytes(), rests.tobytes(), before.tobytes(), rows[:, -2:].tobytes(), self.kept_doc[a:b].astype("<i8").tobytes()]))))
         return out
 
 
@@ -318,6 +330,7 @@ def shared_lengths(rows: np.ndarray) -> np.ndarray:
 
 def decoded(data: bytes) -> tuple[list[int], list[bytes], np.ndarray, np.ndarray, np.ndarray]:
     """A run's shared lengths, whole suffixes, bytes before, lengths and doc_ids."""
+    data = zstandard.ZstdDecompressor().decompress(data)
     n = int(np.frombuffer(data, "<u4", 1)[0])
     lcp = np.frombuffer(data, np.uint8, n, 4)
     at = 4 + n
@@ -452,7 +465,7 @@ def remove_repeats(docs: DataFrame, *, with_text: bool = False) -> DataFrame:
     total = blocks.select(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda s, x: s + x))).first()[0] or 0
     anchors = total * 2 // (PLACES + 1)
     bits = min(24, max(4, (anchors // BUCKET).bit_length()))
-    parts = max(16, anchors // (4 * PART))
+    parts = max(16, anchors // PART)
     answered = materialise(exchanged(blocks, bits), "answers")
     joined = blocks.join(answered, "block", "left").select("block", "ids", "lens", "z", "answers")
 
