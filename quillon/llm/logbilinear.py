@@ -37,8 +37,12 @@ SYMBOLS = SINGLE + CLASSES
 CONTEXT = 4096
 #: Rows of context vectors: frequent tokens, classes of the others, and the start of a text.
 CONTEXT_ROWS = CONTEXT + CLASSES + 1
-WIDTH, ORDER, NOISE, STEP = 16, 3, 32, 0.1
+WIDTH, ORDER, NOISE, STEP = 16, 3, 16, 0.1
 MINIBATCH = 8192
+#: Rows of logits at once, so that they stay in a core's cache.
+SCORED_ROWS = 1024
+#: Tokens of texts that are encoded together.
+TOGETHER = 200_000
 END = b""
 #: Tokens that a task counts before it passes its counts on.
 COUNTED = 200_000
@@ -74,6 +78,18 @@ def count_tokens(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The most frequent tokens, ``most`` at the very most: those above a count that a table of count classes gives."""
+    step = F.floor(F.log2("c") * 64).cast("int")
+    classes = sorted((r["k"], r["n"]) for r in counts.groupBy(step.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect())
+    least, held = None, 0
+    for k, n in reversed(classes):
+        if held + n > most:
+            break
+        least, held = k, held + n
+    return counts.filter(F.lit(False) if least is None else step >= least)
+
+
 class Vocabulary:
     """Ranks of the frequent tokens and what follows from them; made once in a Python worker."""
 
@@ -83,19 +99,47 @@ class Vocabulary:
         ranks = np.arange(len(classes))
         self.symbol = np.where(ranks < SINGLE, ranks, SINGLE + classes).astype(np.int32)
         self.context = np.where(ranks < CONTEXT, ranks, CONTEXT + classes).astype(np.int32)
-        self.end = self.rank.get(END, -1)
 
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-        """Rank (-1: rare), symbol and context row of each word and the end, and the rare words in order."""
-        get = self.rank.get
-        ranks = np.array([get(w, -1) for w in words] + [self.end], np.int32)
-        symbol, context = self.symbol[ranks], self.context[ranks]
-        rare_at = np.flatnonzero(ranks < 0)
-        rare = [words[i] if i < len(words) else END for i in rare_at.tolist()]
-        if rare:
-            classes = np.array([tail_class(w) for w in rare], np.int32)
-            symbol[rare_at], context[rare_at] = SINGLE + classes, CONTEXT + classes
-        return ranks, symbol, context, rare
+    def encode(self, texts: list[list[bytes]]) -> Encoded:
+        return Encoded(self, texts)
+
+
+class Encoded:
+    """Texts as one stream of tokens, an end after each: ranks (-1: rare), symbols, contexts, and the rare words."""
+
+    def __init__(self, vocabulary: Vocabulary, texts: list[list[bytes]]):
+        self.lengths = np.array([len(t) + 1 for t in texts], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        stream: list[bytes] = []
+        for words in texts:
+            stream += words
+            stream.append(END)
+        get = vocabulary.rank.get
+        self.ranks = ranks = np.array([get(w, -1) for w in stream], np.int32)
+        self.symbols, rows = vocabulary.symbol[ranks], vocabulary.context[ranks]
+        self.rare_at = np.flatnonzero(ranks < 0)
+        self.rare = [stream[i] for i in self.rare_at.tolist()]
+        if self.rare:
+            classes = np.array([tail_class(w) for w in self.rare], np.int32)
+            self.symbols[self.rare_at], rows[self.rare_at] = SINGLE + classes, CONTEXT + classes
+        self.contexts = contexts(rows, self.starts)
+
+    def rare_by_text(self) -> list[list[dict]]:
+        cuts = np.searchsorted(self.rare_at, [*self.starts.tolist(), len(self.ranks)]).tolist()
+        return [[{"token": t, "n": k} for t, k in Counter(self.rare[a:b]).items()] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def together(texts: list[bytes]) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """The first text's index and the words of runs of texts with about TOGETHER tokens."""
+    first, size, words = 0, 0, []
+    for i, text in enumerate(texts):
+        words.append(text.lower().split())
+        size += len(words[-1]) + 1
+        if size >= TOGETHER:
+            yield first, words
+            first, size, words = i + 1, 0, []
+    if words:
+        yield first, words
 
 
 _vocabularies: dict[int, Vocabulary] = {}
@@ -109,10 +153,16 @@ def vocabulary_of(tokens: list[bytes]) -> Vocabulary:
     return _vocabularies[key]
 
 
-def contexts(rows: np.ndarray) -> np.ndarray:
-    """The ORDER context rows before every token of one text (n, ORDER); its beginning is padded with the start."""
-    padded = np.concatenate([np.full(ORDER, CONTEXT_ROWS - 1, np.int32), rows])
-    return np.stack([padded[ORDER - 1 - j : ORDER - 1 - j + len(rows)] for j in range(ORDER)], axis=1)
+def contexts(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The ORDER context rows before every token (n, ORDER), the nearest first; before a text's beginning stands the start."""
+    out = np.full((len(rows), ORDER), CONTEXT_ROWS - 1, np.int32)
+    for j in range(ORDER):
+        out[j + 1 :, j] = rows[: len(rows) - j - 1]
+    for j in range(ORDER):
+        for k in range(j, ORDER):
+            at = starts + j
+            out[at[at < len(rows)], k] = CONTEXT_ROWS - 1
+    return out
 
 
 class Model:
@@ -165,14 +215,17 @@ class Model:
         """Normalised log-probability of each target symbol."""
         _, symbols, _, bias = self.parts
         out = np.empty(len(target))
-        for i in range(0, len(target), MINIBATCH):
-            logits = self.predicted(context[i : i + MINIBATCH]) @ symbols.T
+        ones, across = np.ones(SYMBOLS, np.float32), np.ascontiguousarray(symbols.T)
+        for i in range(0, len(target), SCORED_ROWS):
+            logits = self.predicted(context[i : i + SCORED_ROWS]) @ across
             logits += bias[:, 0]
-            chosen = logits[np.arange(len(logits)), target[i : i + MINIBATCH]]
-            top = logits.max(axis=1)
-            logits -= top[:, None]
+            chosen = logits[np.arange(len(logits)), target[i : i + SCORED_ROWS]]
+            if (top := float(logits.max())) > 60:
+                logits -= logits.max(axis=1, keepdims=True) - np.float32(60)
+                chosen = logits[np.arange(len(logits)), target[i : i + SCORED_ROWS]]
+            assert np.isfinite(top)
             np.exp(logits, out=logits)
-            out[i : i + MINIBATCH] = chosen - top - np.log(logits.sum(axis=1, dtype=np.float64))
+            out[i : i + SCORED_ROWS] = chosen - np.log((logits @ ones).astype(np.float64))
         return out / np.log(10)
 
 
@@ -184,24 +237,13 @@ def train(training: DataFrame, head: list[bytes], frequency: np.ndarray) -> Mode
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, frequency = shared.value
         vocabulary, model, r = vocabulary_of(head), Model(frequency), np.random.RandomState(9)
-        seen, waiting, held = 0, [], 0
-
-        def learn() -> None:
-            nonlocal seen, waiting, held
-            context, target = (np.concatenate(x) for x in zip(*waiting, strict=True))
-            for i in range(0, len(target), MINIBATCH):
-                model.step(context[i : i + MINIBATCH], target[i : i + MINIBATCH], r)
-            seen, waiting, held = seen + held, [], 0
-
+        seen = 0
         for batch in batches:
-            for text in text_bytes(batch.column(0)):
-                _, symbol, context, _ = vocabulary.encode(text.lower().split())
-                waiting.append((contexts(context), symbol))
-                held += len(symbol)
-                if held >= 4 * MINIBATCH:
-                    learn()
-        if held:
-            learn()
+            for _, words in together(text_bytes(batch.column(0))):
+                found = vocabulary.encode(words)
+                for i in range(0, len(found.ranks), MINIBATCH):
+                    model.step(found.contexts[i : i + MINIBATCH], found.symbols[i : i + MINIBATCH], r)
+                seen += len(found.ranks)
         for part, values in enumerate(model.parts if seen else []):
             n, width = values.shape
             flat = pa.array(np.pad(values, ((0, 0), (0, WIDTH - width))).ravel(), pa.float32())
@@ -227,7 +269,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     counts = materialise(count_tokens(training), "counts")
     sums = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = sums["n"] or 0, sums["v"]
-    top = counts.orderBy(F.desc("c"), "token").limit(HEAD).collect()
+    top = sorted(frequent(counts, HEAD).collect(), key=lambda r: (-r["c"], bytes(r["token"])))
     head, head_counts = [bytes(r["token"]) for r in top], np.array([r["c"] for r in top] or [0], np.int64)
     single = head[:SINGLE]
     symbol = F.pmod(F.crc32(F.expr("substring(token, -2)")), F.lit(CLASSES)).cast("int")
@@ -252,30 +294,20 @@ def score_documents(docs: DataFrame) -> DataFrame:
         log_counts = np.append(np.log10(head_counts + 1.0), 0.0)  # rank -1, a rare word, is left to the join
         uid = TaskContext.get().partitionId() << 36
         for batch in batches:
-            todo = text_bytes(batch.column(1))
-            done = 0
-            while done < len(todo):
-                first, size, parts_of = done, 0, []
-                while done < len(todo) and size < 200_000:
-                    parts_of.append(vocabulary.encode(todo[done].lower().split()))
-                    size += len(parts_of[-1][0])
-                    done += 1
-                context = np.concatenate([contexts(p[2]) for p in parts_of])
-                ranks, symbols = (np.concatenate([p[i] for p in parts_of]) for i in (0, 1))
-                starts = np.cumsum([0] + [len(p[0]) for p in parts_of[:-1]])
-                known = log_counts[ranks]
-                within = model.log10_probability(context, symbols) + known - log_mass[symbols]
-                lengths = np.array([len(p[0]) for p in parts_of], np.int64)
-                rare = [[{"token": t, "n": k} for t, k in Counter(p[3]).items()] for p in parts_of]
+            for first, words in together(text_bytes(batch.column(1))):
+                found = vocabulary.encode(words)
+                known = log_counts[found.ranks]
+                within = model.log10_probability(found.contexts, found.symbols) + known - log_mass[found.symbols]
+                n_texts = len(words)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.arange(uid, uid + len(parts_of))), batch.column(0).slice(first, len(parts_of)), batch.column(2).slice(first, len(parts_of)), pa.array(lengths),
-                        pa.array(np.add.reduceat((ranks >= 0).astype(np.int64), starts)), pa.array(np.add.reduceat(known, starts) - log_all * lengths), pa.array(np.add.reduceat(within, starts)),
-                        pa.array(rare, pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())]))),
+                        pa.array(np.arange(uid, uid + n_texts)), batch.column(0).slice(first, n_texts), batch.column(2).slice(first, n_texts), pa.array(found.lengths),
+                        pa.array(np.add.reduceat((found.ranks >= 0).astype(np.int64), found.starts)), pa.array(np.add.reduceat(known, found.starts) - log_all * found.lengths), pa.array(np.add.reduceat(within, found.starts)),
+                        pa.array(found.rare_by_text(), pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())]))),
                     ],
                     [x.split()[0] for x in SCORED.split(", ")[:7]] + ["rare"],
                 )
-                uid += len(parts_of)
+                uid += n_texts
 
     scored = materialise(texts.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(run, SCORED), "scored")
     rare = scored.select("uid", F.explode("rare").alias("r")).select("uid", F.col("r.token").alias("token"), F.col("r.n").alias("times"))
