@@ -81,7 +81,8 @@ DATETIME = [
         "q_value", "s STRING, tz STRING, conn STRING", VALUE,
         [("p", VALUE, "q_stamp(s)"), ("z", "STRUCT<name: STRING, us: BIGINT>", "q_zone_delta(tz)"), ("zoned", "BOOLEAN", "(coalesce(conn, '') <> '' OR (tz IS NOT NULL AND NOT tz <=> conn))")],
         f"CASE WHEN s IS NULL THEN NULL WHEN NOT zoned THEN p WHEN s = '' THEN {_fail('an empty text has no time zone', VALUE)} WHEN p IS NULL THEN NULL WHEN NOT p.timed THEN {_fail('a date value has no time zone', VALUE)} "
-        f"WHEN coalesce(conn, '') = '' THEN {_fail('a naive value cannot be converted', VALUE)} WHEN tz IS NULL OR tz = conn THEN named_struct('ts', convert_timezone(conn, conn, p.ts), 'timed', true) "
+        f"WHEN coalesce(conn, '') = '' THEN {_fail('a naive value cannot be converted', VALUE)} WHEN z.name rlike '^(UTC|GMT|UT)?[+-]' OR conn rlike '^(UTC|GMT|UT)?[+-]' THEN {_fail('unknown time zone', VALUE)} "
+        "WHEN tz IS NULL OR tz = conn THEN named_struct('ts', convert_timezone(conn, conn, p.ts), 'timed', true) "
         f"ELSE named_struct('ts', convert_timezone('UTC', z.name, convert_timezone(conn, 'UTC', p.ts) + {SECONDS.format('z.us')}), 'timed', true) END",
     ),
     ("q_clock_text", "us BIGINT", "STRING", CLOCK_TEXT),
