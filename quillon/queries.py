@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillon.functions import aggregates, library, regex
 from quillon.operators import histograms, joins, paging, upserts, windows
 from quillon.plans import fleet, policy
+from quillon.runtime import ship
 from quillon.sources import generators, prometheus
 from quillon.streaming import processors, sinks
 
@@ -29,7 +30,7 @@ def query(oracle: str | None = None) -> Callable:
     """Register f(spark, table) under its name."""
 
     def register(f: Callable[[SparkSession, Table], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(spark, table_of(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(ship(spark), table_of(spark, sf_dir))
         if oracle:
             ORACLES[f.__name__] = oracle
         return f
