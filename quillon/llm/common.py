@@ -9,12 +9,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.runtime import ship
+
 #: Rows per Arrow batch: whole texts are long, so batches are kept small.
 BATCH_ROWS = "1000"
 
 
 def session(spark: SparkSession) -> SparkSession:
-    """The session with small Arrow batches, which bound a Python worker's memory."""
+    """The session with this package on its executors and small Arrow batches, which bound a Python worker's memory."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark
 

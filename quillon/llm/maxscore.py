@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, session
 
 #: Queries in a block and rows in a shard of the grid.
 QUERY_BLOCK = 2048
@@ -84,7 +84,7 @@ def search_shard(query: np.ndarray, query_id: int, ids: np.ndarray, columns: np.
 
 def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest inner products of each query with every row but its own."""
-    spark = vectors.sparkSession
+    session(vectors.sparkSession)
     table = materialise(quantised(vectors), "vectors")
     rows = table.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(is_query, 1)).alias("q"), F.max(F.size("terms")).alias("width")).first()
     shards, blocks, width = max(1, -(-rows["n"] // SHARD_ROWS)), max(1, -(-rows["q"] // QUERY_BLOCK)), rows["width"] or 0

@@ -4,8 +4,10 @@ Every rule compares one measure of a document with a cutoff. For each stratum (l
 cutoffs are tried from the mildest on. A cutoff holds if the exact binomial (Clopper-Pearson) test
 rejects "the rule drops over ``alpha`` of the good documents" at the level ``delta`` divided by the
 number of strata times rules (Bonferroni); within a rule the order of tests is fixed in advance, so
-testing stops at the first cutoff that fails and no further correction is due. The strictest cutoff that
-held is used; if none held, the rule is off in that stratum. All labelled rows take part.
+testing stops at the first cutoff that fails and no further correction is due. All cutoffs that hold are good
+at once, so any choice among them keeps the guarantee: taken is the one that drops the most bad documents, then
+the fewest good ones, then the strictest. A rule that has none, or drops no bad document that the rules before it
+leave, is off in that stratum. All labelled rows take part.
 
 Edge cases: a null text has no words, so the base rules drop it; a null stratum is a stratum of its own;
 documents of strata without labels meet only the base rules; several labels of a document all count;
@@ -84,30 +86,49 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(log_top) * total)
 
 
-def choose_cutoffs(counts: list[tuple[str | None, int, dict[str, list[int]]]], alpha: float, delta: float) -> dict[str | None, dict[str, float]]:
-    """counts: stratum, good documents, and for each rule how many of them each cutoff of CUTS would drop."""
+def certified_cutoffs(counts: list[tuple[str | None, int, dict[str, list[int]]]], alpha: float, delta: float) -> dict[str | None, dict[str, list[float]]]:
+    """The cutoffs that hold, mildest first. counts: stratum, good documents, and by rule how many of them each cutoff of CUTS drops."""
     level = delta / max(1, len(counts) * len(RULES))
-    chosen: dict[str | None, dict[str, float]] = {}
+    held: dict[str | None, dict[str, list[float]]] = {}
     for stratum, n, dropped in counts:
-        chosen[stratum] = {}
+        held[stratum] = {}
         for rule in RULES:
-            for cut, k in zip(CUTS, dropped[rule], strict=True):
-                if n == 0 or binomial_tail(k, n, alpha) > level:
-                    break
-                chosen[stratum][rule] = cut
-    return chosen
+            failed = next((i for i, k in enumerate(dropped[rule]) if n == 0 or binomial_tail(k, n, alpha) > level), len(CUTS))
+            held[stratum][rule] = CUTS[:failed]
+    return held
+
+
+def best_cutoff(cuts: list[float], bad: list[int], good: list[int]) -> float | None:
+    """Of certified cutoffs: the most bad documents dropped, then the fewest good ones, then the strictest; None if no bad one goes."""
+    ranked = [(bad[i], -good[i], i) for i in range(len(cuts))]
+    best = max(ranked, default=(0, 0, 0))
+    return cuts[best[2]] if best[0] else None
 
 
 def calibrate(measures_and_labels: DataFrame, stratum: str = "lang", alpha: float = 0.01, delta: float = 0.05) -> dict[str | None, dict[str, float]]:
     """Cutoffs by stratum from rows with measures, ``quality`` (1 good, 0 bad) and the stratum.
 
-    Documents that fail the base rules go anyway and take no part. Reaches the driver: a row per stratum.
+    Documents that fail the base rules go anyway and take no part. Rules are taken in turn, and each is
+    chosen by the bad documents that those before it leave. Reaches the driver: a row per stratum and rule.
     """
-    good = measures_and_labels.filter((F.col("quality") == 1) & ~base_failed())
-    worst = [F.sum((F.expr(rule) > F.lit(cut)).cast("long")).alias(f"{name}_{i}") for name, rule in RULES.items() for i, cut in enumerate(CUTS)]
-    rows = good.groupBy(F.col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("n"), *worst).collect()
-    counts = [(r["stratum"], r["n"], {name: [r[f"{name}_{i}"] for i in range(len(CUTS))] for name in RULES}) for r in sorted(rows, key=lambda r: str(r["stratum"]))]
-    return choose_cutoffs(counts, alpha, delta)
+    rows = measures_and_labels.filter(F.col("quality").isin(0, 1) & ~base_failed())
+    key = F.col(stratum).alias("stratum")
+
+    def counted(part: DataFrame, rules: list[str]) -> dict[str | None, tuple[int, dict[str, list[int]]]]:
+        dropped = [F.coalesce(F.sum((F.expr(RULES[r]) > F.lit(cut)).cast("long")), F.lit(0)).alias(f"{r}_{i}") for r in rules for i, cut in enumerate(CUTS)]
+        found = part.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *dropped).collect()
+        return {r["stratum"]: (r["n"], {x: [r[f"{x}_{i}"] for i in range(len(CUTS))] for x in rules}) for r in found}
+
+    good = counted(rows.filter("quality = 1"), list(RULES))
+    held = certified_cutoffs([(s, n, dropped) for s, (n, dropped) in sorted(good.items(), key=lambda x: str(x[0]))], alpha, delta)
+    chosen: dict[str | None, dict[str, float]] = {s: {} for s in held}
+    for rule in RULES:
+        bad = counted(rows.filter("quality = 0").filter(verdict(chosen, stratum)), [rule])
+        for s, rules in held.items():
+            cut = best_cutoff(rules[rule], bad[s][1][rule] if s in bad else [0] * len(CUTS), good[s][1][rule])
+            if cut is not None:
+                chosen[s][rule] = cut
+    return chosen
 
 
 def base_failed() -> Column:
@@ -137,7 +158,7 @@ def judge_documents(docs: DataFrame, labels: DataFrame, alpha: float = 0.01, del
 def filter_documents(docs: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
     """The documents that are kept, with their own columns, whatever their names."""
     narrow = measured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")).drop("text")
-    cutoffs = calibrate(joined_labels(narrow, labels), "lang", alpha, delta)
+    cutoffs = calibrate(materialise(joined_labels(narrow, labels), "labelled"), "lang", alpha, delta)
     plain = docs.toDF(*(f"c_{i}" for i in range(len(docs.columns))))
     place = {name: f"c_{i}" for i, name in enumerate(docs.columns)}
     kept = measured(plain, place["text"]).filter(verdict(cutoffs, place["lang"]))

@@ -148,12 +148,18 @@ def test_binomial_bound_is_exact():
 def test_cutoffs_keep_the_guarantee():
     n = 2000
     dropped = {rule: [min(n, i * 2) for i in range(len(quality.CUTS))] for rule in quality.RULES}
-    chosen = quality.choose_cutoffs([("en", n, dropped), ("few", 10, {r: [0] * len(quality.CUTS) for r in quality.RULES})], 0.02, 0.05)
-    assert chosen["few"] == {}
-    for rule, cut in chosen["en"].items():
-        k = dropped[rule][quality.CUTS.index(cut)]
-        assert quality.binomial_tail(k, n, 0.02) <= 0.05 / 8
-        assert quality.binomial_tail(dropped[rule][quality.CUTS.index(cut) + 1], n, 0.02) > 0.05 / 8
+    held = quality.certified_cutoffs([("en", n, dropped), ("few", 10, {r: [0] * len(quality.CUTS) for r in quality.RULES})], 0.02, 0.05)
+    assert all(cuts == [] for cuts in held["few"].values())
+    for rule, cuts in held["en"].items():
+        assert cuts == quality.CUTS[: len(cuts)] and cuts
+        assert quality.binomial_tail(dropped[rule][len(cuts) - 1], n, 0.02) <= 0.05 / 8
+        assert quality.binomial_tail(dropped[rule][len(cuts)], n, 0.02) > 0.05 / 8
+
+
+def test_best_cutoff_spares_good_documents():
+    assert quality.best_cutoff([2.0, 1.0, 0.5, 0.1], [0, 4, 4, 4], [0, 0, 0, 3]) == 0.5
+    assert quality.best_cutoff([2.0, 1.0], [0, 0], [0, 0]) is None
+    assert quality.best_cutoff([], [], []) is None
 
 
 def test_rules_drop_junk_and_keep_clean_documents(spark):
