@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 VALUE = "STRUCT<ts: TIMESTAMP_NTZ, timed: BOOLEAN>"
-DATE_RE = r"^\\s*([0-9]{1,4})\\s*-\\s*([0-9]{1,2})\\s*-\\s*([0-9]{1,2})\\s*$"
-TIME_RE = r"^\\s*([0-9]{1,2})\\s*:\\s*([0-9]{1,2})\\s*:\\s*([0-9]{1,2})(?:[.]([0-9]*))?\\s*$"
+DATE_RE = r"^\\s*[0-9]{1,4}\\s*-\\s*[0-9]{1,2}\\s*-\\s*[0-9]{1,2}\\s*$"
+TIME_RE = r"^\\s*[0-9]{1,2}\\s*:\\s*[0-9]{1,2}\\s*:\\s*[0-9]{1,2}([.][0-9]*)?\\s*$"
 DAY_US = 86_400_000_000
 
 
@@ -54,22 +54,24 @@ CLOCK = {"hour", "minute", "second", "microsecond"}
 CLOCK_TEXT = "concat(lpad(us div 3600000000, 2, '0'), ':', lpad(us div 60000000 % 60, 2, '0'), ':', lpad(us div 1000000 % 60, 2, '0'), IF(us % 1000000 = 0, '', concat('.', lpad(us % 1000000, 6, '0'))))"
 
 #: name, arguments, result type, body; later ones may call earlier ones.
-SECONDS = "make_dt_interval(0, 0, 0, CAST({} AS DECIMAL(20, 6)) / 1000000)"
+SHIFTED = "timestampadd(MICROSECOND, {1}, {0})"
 DT, PAIR = "lookup STRING, dt STRING, tz STRING, conn STRING", "dt STRING, tz STRING, conn STRING"
 V = [("v", VALUE, "q_value(dt, tz, conn)")]
 
 #: name, arguments, result type, body; later ones may call earlier ones.
 DATETIME = [
-    ("q_date", "s STRING", "DATE", f"TRY_CAST(concat_ws('-', lpad(regexp_extract(s, '{DATE_RE}', 1), 4, '0'), lpad(regexp_extract(s, '{DATE_RE}', 2), 2, '0'), lpad(regexp_extract(s, '{DATE_RE}', 3), 2, '0')) AS DATE)"),
+    # a year under four digits is filled up, as the cast asks for four
+    *_let("q_date", "s STRING", "DATE", [("d", "STRING", f"CASE WHEN s rlike '{DATE_RE}' THEN regexp_replace(s, '\\\\s', '') END")], "TRY_CAST(lpad(d, length(d) + greatest(5 - instr(d, '-'), 0), '0') AS DATE)"),
     *_let(
-        "q_clock", "s STRING", "BIGINT", [(n, "BIGINT", f"TRY_CAST(regexp_extract(s, '{TIME_RE}', {i}) AS BIGINT)") for i, n in enumerate("hmc", 1)],
-        f"CASE WHEN h < 24 AND m < 60 AND c < 60 THEN ((h * 60 + m) * 60 + c) * 1000000L + CAST(rpad(left(regexp_extract(s, '{TIME_RE}', 4), 6), 6, '0') AS BIGINT) END",
+        "q_clock", "s STRING", "BIGINT", [("p", "ARRAY<STRING>", f"CASE WHEN s rlike '{TIME_RE}' THEN split(s, ':') END")],
+        "CASE WHEN CAST(trim(p[0]) AS INT) < 24 AND CAST(trim(p[1]) AS INT) < 60 AND CAST(substring_index(trim(p[2]), '.', 1) AS INT) < 60 THEN ((CAST(trim(p[0]) AS BIGINT) * 60 + CAST(trim(p[1]) AS BIGINT)) * 60 + CAST(substring_index(trim(p[2]), '.', 1) AS BIGINT)) * 1000000L "
+        "+ IF(instr(p[2], '.') = 0, 0L, CAST(rpad(left(substring_index(trim(p[2]), '.', -1), 6), 6, '0') AS BIGINT)) END",
     ),
     ("q_offset_cut", "t STRING", "STRING", "CASE WHEN instr(t, '-') > 0 THEN left(t, instr(t, '-') - 1) WHEN instr(t, '+') > 0 THEN left(t, instr(t, '+') - 1) ELSE t END"),
     *_let(
         "q_stamp", "s STRING", VALUE, [("d", "DATE", "q_date(IF(instr(s, ' ') > 0, left(s, instr(s, ' ') - 1), s))"), ("us", "BIGINT", "q_clock(q_offset_cut(substring(s, instr(s, ' ') + 1)))")],
         "CASE WHEN d IS NULL THEN NULL WHEN instr(s, ' ') = 0 THEN named_struct('ts', CAST(d AS TIMESTAMP_NTZ), 'timed', false) WHEN us IS NULL THEN NULL "
-        f"ELSE named_struct('ts', CAST(d AS TIMESTAMP_NTZ) + {SECONDS.format('us')}, 'timed', true) END",
+        f"ELSE named_struct('ts', {SHIFTED.format('CAST(d AS TIMESTAMP_NTZ)', 'us')}, 'timed', true) END",
     ),
     (
         "q_zone_delta", "tz STRING", "STRUCT<name: STRING, us: BIGINT>",
@@ -83,7 +85,7 @@ DATETIME = [
         f"CASE WHEN s IS NULL THEN NULL WHEN NOT zoned THEN p WHEN s = '' THEN {_fail('an empty text has no time zone', VALUE)} WHEN p IS NULL THEN NULL WHEN NOT p.timed THEN {_fail('a date value has no time zone', VALUE)} "
         f"WHEN coalesce(conn, '') = '' THEN {_fail('a naive value cannot be converted', VALUE)} WHEN z.name rlike '^(UTC|GMT|UT)?[+-]' OR conn rlike '^(UTC|GMT|UT)?[+-]' THEN {_fail('unknown time zone', VALUE)} "
         "WHEN tz IS NULL OR tz = conn THEN named_struct('ts', convert_timezone(conn, conn, p.ts), 'timed', true) "
-        f"ELSE named_struct('ts', convert_timezone('UTC', z.name, convert_timezone(conn, 'UTC', p.ts) + {SECONDS.format('z.us')}), 'timed', true) END",
+        f"ELSE named_struct('ts', convert_timezone('UTC', z.name, {SHIFTED.format("convert_timezone(conn, 'UTC', p.ts)", 'z.us')}), 'timed', true) END",
     ),
     ("q_clock_text", "us BIGINT", "STRING", CLOCK_TEXT),
     ("q_micros", "ts TIMESTAMP_NTZ", "BIGINT", MICROS_OF_DAY.format("ts")),
@@ -117,10 +119,10 @@ DATETIME = [
     ("duration_sub", "l BIGINT, r BIGINT", "STRING", "duration_text(l - r)"),
     *(
         step
-        for name, sign, shift in (("dt_add", "+", "date_add"), ("dt_sub", "-", "date_sub"))
+        for name, sign, shift in (("dt_add", "", "date_add"), ("dt_sub", "-", "date_sub"))
         for step in _let(
             name, "dt STRING, us BIGINT", "STRING", [("p", VALUE, "q_stamp(dt)")],
-            f"CASE WHEN p IS NULL OR us IS NULL THEN NULL WHEN p.timed THEN stamp_text(p.ts {sign} {SECONDS.format('us')}) ELSE date_format({shift}(CAST(p.ts AS DATE), CAST((us - pmod(us, {DAY_US}L)) div {DAY_US}L AS INT)), 'yyyy-MM-dd') END",
+            f"CASE WHEN p IS NULL OR us IS NULL THEN NULL WHEN p.timed THEN stamp_text({SHIFTED.format('p.ts', sign + 'us')}) ELSE date_format({shift}(CAST(p.ts AS DATE), CAST((us - pmod(us, {DAY_US}L)) div {DAY_US}L AS INT)), 'yyyy-MM-dd') END",
         )
     ),
     ("dt_diff", "l STRING, r STRING", "STRING", "duration_text(django_timestamp_diff(l, r))"),
