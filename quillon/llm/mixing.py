@@ -4,11 +4,12 @@ Source token shares are raised to an exponent between 0 and 1 and normalised. Th
 weights' entropy falls and the repetition of small sources falls as the exponent grows, so the target
 entropy, or the largest exponent that... keeps every source within the repetition limit, is found to within
 2**-40. A source's quota is its weight times the token budget. Whole passes give every document once each; the
-remaining tokens are taken by whole blocks in the order of a permutation (by hash of source, block, pass) and
-the block in which the quota ends is cut between two documents.
+remaining tokens are taken by whole blocks in the order of a permutation (by hash of source, block, pass), the
+block in which the quota ends by its parts in the same way, and the part in which it ends is cut between two
+documents.
 
-Only DataFrame functions are used. Sums go over (source, block), with a fixed number of blocks a source, so a
-source with a third of all rows has no task of its own, and only the cut block is ever sorted by document.
+Only DataFrame functions are used. Sums go over the parts of blocks, of which every source has up to 16,384, so a
+source with a third of all rows has no task of its own, and only a cut part is ever sorted by document.
 
 Edge cases: a null source is a source of its own; null and empty texts have no tokens, count one so that they
 keep a place, and are dealt like others; an empty table gives an empty result; rows that repeat are dealt
@@ -22,9 +23,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import known_text
+from .common import known_text, materialise
 
-BLOCKS = 256
+BLOCKS, PARTS = 256, 64
 #: Sources whose plan is broadcast; with more, plain joins are used.
 BROADCAST_SOURCES = 20_000
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -98,25 +99,35 @@ def dealt(docs: DataFrame, *, budget: int | None = None, target_entropy: float |
     """
     spark = docs.sparkSession
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    rows = rows.select("row", F.col("row.source").cast("string").alias("mix_source"), tokens("row.text").alias("mix_tokens"), F.pmod(F.xxhash64("row.doc_id", "row.text", F.lit(seed)), F.lit(BLOCKS)).cast("int").alias("mix_block"))
-    blocks = rows.groupBy("mix_source", "mix_block").agg(F.sum("mix_tokens").alias("tokens"))
+    hashed = F.xxhash64("row.doc_id", "row.text", F.lit(seed))
+    block, part = F.pmod(hashed, F.lit(BLOCKS)), F.pmod(F.shiftrightunsigned(hashed, 32), F.lit(PARTS))
+    rows = rows.select("row", F.col("row.source").cast("string").alias("mix_source"), tokens("row.text").alias("mix_tokens"), block.cast("int").alias("mix_block"), part.cast("int").alias("mix_part"))
+    parts = materialise(rows.groupBy("mix_source", "mix_block", "mix_part").agg(F.sum("mix_tokens").alias("tokens")), "source-parts")
+    blocks = parts.groupBy("mix_source", "mix_block").agg(F.sum("tokens").alias("tokens"))
     counts = blocks.groupBy("mix_source").agg(F.sum("tokens").alias("tokens"))
     known = sorted(((r["mix_source"], r["tokens"]) for r in counts.collect()), key=lambda r: (r[0] is not None, r[0] or ""))
     made = spark.createDataFrame(plan(known, budget, target_entropy, repetition), "source string, passes long, beyond long, quota long")
     small = (lambda df: F.broadcast(df)) if len(known) <= BROADCAST_SOURCES else (lambda df: df)
-    place = F.xxhash64("mix_source", "mix_block", "passes", F.lit(seed))
-    order = Window.partitionBy("mix_source").orderBy(place, "mix_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda keys, order: F.coalesce(F.sum("tokens").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # room: tokens of the quota that are left when a block's turn comes in the last, partial pass
     by_block = blocks.join(small(made), F.col("mix_source").eqNullSafe(F.col("source")))
-    by_block = by_block.select("mix_source", "mix_block", "passes", (F.col("beyond") - F.coalesce(F.sum("tokens").over(order), F.lit(0))).alias("room"), F.col("tokens").alias("block_tokens"))
-    by_block = by_block.select(F.col("mix_source").alias("s"), F.col("mix_block").alias("b"), "passes", "room", "block_tokens")
-    joined = rows.join(small(by_block), F.col("mix_source").eqNullSafe(F.col("s")) & (F.col("mix_block") == F.col("b")))
+    room = F.col("beyond") - before(["mix_source"], [F.xxhash64("mix_source", "mix_block", "passes", F.lit(seed)), "mix_block"])
+    by_block = by_block.select(F.col("mix_source").alias("s"), F.col("mix_block").alias("b"), "passes", room.alias("room"), F.col("tokens").alias("block_tokens"))
+    joined = rows.join(small(by_block), F.col("mix_source").eqNullSafe(F.col("s")) & (F.col("mix_block") == F.col("b"))).drop("s", "b")
     taken = F.col("room") >= F.col("block_tokens")
-    upto = F.col("passes") - 1 + taken.cast("long")
-    whole = joined.filter((F.col("passes") > 0) | taken).withColumn("mix_pass", F.explode(F.sequence(F.lit(0).cast("long"), upto)))
-    inside = Window.partitionBy("mix_source", "mix_block").orderBy(F.xxhash64("row.doc_id", "passes"), "row.doc_id", F.xxhash64("row.text"))
-    cut = joined.filter(~taken & (F.col("room") > 0)).withColumn("upto", F.sum("mix_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    cut = cut.filter("upto <= room").withColumn("mix_pass", F.col("passes")).drop("upto")
-    return whole.unionByName(cut).select("row", "mix_source", "mix_tokens", "mix_pass", "mix_block", F.xxhash64("mix_source", "mix_block", "mix_pass", F.lit(seed)).alias("mix_place"))
+    last = F.col("passes") - 1 + taken.cast("long")
+    whole = joined.filter((F.col("passes") > 0) | taken).withColumn("mix_pass", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    # the block in which the quota ends is dealt by parts, and the part in which it ends by documents
+    ending = by_block.filter(~taken & (F.col("room") > 0)).select("s", "b", "room")
+    by_part = parts.join(small(ending), F.col("mix_source").eqNullSafe(F.col("s")) & (F.col("mix_block") == F.col("b")))
+    by_part = by_part.select("s", "b", F.col("mix_part").alias("p"), (F.col("room") - before(["s", "b"], [F.xxhash64("s", "b", "mix_part", F.lit(seed)), "mix_part"])).alias("part_room"), F.col("tokens").alias("part_tokens")).filter("part_room > 0")
+    ended = joined.join(small(by_part), F.col("mix_source").eqNullSafe(F.col("s")) & (F.col("mix_block") == F.col("b")) & (F.col("mix_part") == F.col("p"))).withColumn("mix_pass", F.col("passes"))
+    inside = Window.partitionBy("mix_source", "mix_block", "mix_part").orderBy(F.xxhash64("row.doc_id", "passes"), "row.doc_id", F.xxhash64("row.text")).rowsBetween(Window.unboundedPreceding, 0)
+    parts_whole = ended.filter("part_room >= part_tokens")
+    cut = ended.filter("part_room < part_tokens").withColumn("upto", F.sum("mix_tokens").over(inside)).filter("upto <= part_room")
+    columns = ["row", "mix_source", "mix_tokens", "mix_pass", "mix_block"]
+    dealt_rows = whole.select(*columns).union(parts_whole.select(*columns)).union(cut.select(*columns))
+    return dealt_rows.withColumn("mix_place", F.xxhash64("mix_source", "mix_block", "mix_pass", F.lit(seed)))
 
 
 def schedule(docs: DataFrame, **options) -> DataFrame:
