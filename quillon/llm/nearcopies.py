@@ -8,8 +8,8 @@ texts don't share disturbs one position, so texts that differ in at most ``POSIT
 shingles agree in at least ``SHARED`` positions.
 
 The inverted index maps a position and its bytes to the texts that have them. Pairs of a list are tallied, those
-that share ``SHARED`` positions are kept (all positions, where a text has fewer), and each is verified by the
-Jaccard similarity of the whole shingle sets. A list of more than ``DENSE`` texts is not paired: each member
+that may share ``SHARED`` positions (all positions, where a text has fewer; lists too long to be paired count as
+shared) are kept, and each is verified by the Jaccard similarity of the whole shingle sets. A list of more than ``DENSE`` texts is not paired: each member
 meets the list's centre, the text with the most company in all its lists, and the few that fall into its
 random share of the list, anew in every list. Texts enter once, whatever their copies.
 
@@ -90,20 +90,22 @@ def candidates(texts: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b), a < b, of tids that share enough positions; texts: tid, n, positions, keys, one row each."""
     index = texts.select("tid", "n", "positions", F.explode("keys").alias("key"))
     sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    lists = materialise(index.join(sizes, "key"), "positions")
-    entry = F.struct("tid", "n", "positions")
+    listed = materialise(index.join(sizes, "key"), "positions")
+    # what a text's lists say about it: its company in all of them, and how many are too long to be paired
+    company = listed.groupBy("tid").agg(F.sum(F.log2("size")).alias("company"), F.count(F.when(F.col("size") > DENSE, 1)).cast("int").alias("crowds"))
+    lists = materialise(listed.join(company, "tid"), "lists")
+    entry = F.struct("tid", "n", "positions", "crowds")
 
     def paired(grouped: DataFrame) -> DataFrame:
         a, b = F.col("a"), F.col("b")
         fits = F.filter("entries", lambda e: (e["tid"] > F.col("a.tid")) & (F.least(e["n"], F.col("a.n")) >= similarity * F.greatest(e["n"], F.col("a.n"))))
         both = grouped.select(F.explode("entries").alias("a"), "entries").select("a", F.explode(fits).alias("b"))
-        return both.select(a["tid"].alias("a"), b["tid"].alias("b"), F.least(F.lit(SHARED), a["positions"], b["positions"]).alias("least"))
+        return both.select(a["tid"].alias("a"), b["tid"].alias("b"), (F.least(F.lit(SHARED), a["positions"], b["positions"]) - F.least(a["crowds"], b["crowds"])).alias("least"))
 
     small = paired(lists.filter(F.col("size") <= DENSE).groupBy("key").agg(F.collect_list(entry).alias("entries")))
     tallied = small.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("least").alias("least"))
     large = lists.filter(F.col("size") > DENSE)
-    company = lists.groupBy("tid").agg(F.sum(F.log2("size")).alias("company"))
-    centres = large.join(company, "tid").groupBy("key").agg(F.max_by(entry, F.struct("company", "tid")).alias("centre"))
+    centres = large.groupBy("key").agg(F.max_by(entry, F.struct("company", "tid")).alias("centre"))
     starred = large.join(centres, "key").filter((F.col("tid") != F.col("centre.tid")) & (F.least("n", "centre.n") >= similarity * F.greatest("n", "centre.n")))
     starred = starred.select(F.least("tid", "centre.tid").alias("a"), F.greatest("tid", "centre.tid").alias("b"))
     share = F.pmod(F.xxhash64("tid", "key"), F.ceil(F.col("size") / SHARE))
