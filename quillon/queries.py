@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import aggregates, library, regex
 from quillon.operators import histograms, joins, paging, upserts, windows
-from quillon.plans import fleet, policy
+from quillon.plans import fleet, policy, reports
 from quillon.runtime import ship
 from quillon.sources import generators, prometheus
 from quillon.streaming import processors, sinks
@@ -513,4 +513,99 @@ def random_values(spark, t):
     return t("region").select("r_regionkey", F.expr("length(uuidv4())").alias("v4"), F.expr("length(uuidv7())").alias("v7"), (F.rand() < 1).alias("r"))
 
 
-assert Window
+# --- further reports -------------------------------------------------------------------------------
+
+
+@query(f"""WITH d AS ({DIRECTORY}) SELECT count(*) AS total, count(*) FILTER (WHERE status = 'active') AS active, count(*) FILTER (WHERE status = 'migrating') AS migrating, count(*) FILTER (WHERE status = 'deleted') AS deleted,
+count(*) FILTER (WHERE status = 'active' AND schema_version = 4) AS at_head, count(*) FILTER (WHERE status = 'active' AND schema_version < 4) AS behind FROM d""")
+def fleet_overview(spark, t):
+    return reports.overview(directory(t), F.lit(4))
+
+
+@query("SELECT n_name AS node_key, EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 5000) AS alive FROM nation")
+def node_roster(spark, t):
+    alive = t("supplier").filter("s_acctbal > 5000").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("node_key"))
+    return reports.roster(t("nation").select(F.col("n_name").alias("node_key")), alive)
+
+
+@query("""WITH a AS (SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rows FROM events), k AS (SELECT user_id, ts, max(rows) AS rows FROM a GROUP BY 1, 2), f AS (SELECT user_id, ts, max(rows) AS rows FROM a WHERE event_id % 5 = 0 GROUP BY 1, 2)
+SELECT k.user_id, k.ts AS at, k.rows - coalesce(max(f.rows), 0) AS lost_rows, round(greatest(date_diff('microsecond', max(f.ts), k.ts) / 1000.0::DOUBLE, 0.0), 3) AS lost_ms FROM k LEFT JOIN f ON f.user_id = k.user_id AND f.ts <= k.ts GROUP BY k.user_id, k.ts, k.rows""")
+def loss_window_samples(spark, t):
+    e = t("events").withColumn("rows", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("bigint"))
+    acked = e.groupBy("user_id", F.col("ts").alias("at")).agg(F.max("rows").alias("rows"))
+    flushed = e.filter("event_id % 5 = 0").groupBy("user_id", F.col("ts").alias("at")).agg(F.max("rows").alias("rows"))
+    found = reports.loss_samples(acked, flushed, "user_id").withColumn("lost_ms", F.round("lost_ms", 3))
+    return found.select("user_id", "at", "lost_rows", F.when(F.col("lost_ms").isNull(), 0.0).otherwise(F.col("lost_ms")).alias("lost_ms"))
+
+
+@query("SELECT round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.99), 6) AS p99, max(value) AS max, CAST(round(avg(value)) AS BIGINT) AS mean FROM events")
+def distribution_summary(spark, t):
+    d = reports.distribution(t("events"), "value")
+    return d.select(*(F.round(c, 6).alias(c) for c in ("p50", "p90", "p99")), "max", "mean")
+
+
+@query("""WITH r AS (SELECT user_id, sum(value) AS rate FROM events GROUP BY 1), m AS (SELECT user_id FROM r ORDER BY rate DESC, user_id LIMIT 20), x AS (SELECT unnest([0.0, 100.0, 500.0, 1000.0, 5000.0]) AS threshold)
+SELECT CAST(threshold AS DOUBLE) AS threshold, count(*) FILTER (WHERE rate >= threshold) AS flagged, round(count(*) FILTER (WHERE rate >= threshold AND user_id IN (SELECT user_id FROM m)) / CAST((SELECT count(*) FROM m) AS DOUBLE), 6) AS recall FROM r, x GROUP BY 1""")
+def hotspot_sweep(spark, t):
+    rates = t("events").groupBy("user_id").agg(F.sum("value").alias("rate"))
+    return reports.threshold_sweep(rates, "user_id", "rate", [0.0, 100.0, 500.0, 1000.0, 5000.0], 20).withColumn("recall", F.round("recall", 6))
+
+
+@query("""WITH c AS (SELECT user_id, ts, event_id, sum(floor(value)) OVER (PARTITION BY user_id, event_id // 500 ORDER BY ts, event_id) AS total FROM events), o AS (SELECT user_id, ts, max(total) AS total FROM c GROUP BY 1, 2), l AS (SELECT *, lag(total) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM o)
+SELECT user_id, date_trunc('day', ts) AS start, sum(CASE WHEN b IS NULL THEN 0.0 WHEN total < b THEN total ELSE total - b END) AS increase, round(sum(CASE WHEN b IS NULL THEN 0.0 WHEN total < b THEN total ELSE total - b END) / 86400.0, 9) AS rate FROM l GROUP BY 1, 2""")
+def counter_increase(spark, t):
+    e = t("events").withColumns({"chunk": F.expr("event_id div 500"), "whole": F.floor("value").cast("double")})
+    counters = e.withColumn("total", windows.running_sum("whole", ["ts", "event_id"], ["user_id", "chunk"])).groupBy("user_id", "ts").agg(F.max("total").alias("total"))
+    return reports.increase(counters, ["user_id"], "ts", "total", "1 day").withColumn("rate", F.round("rate", 9))
+
+
+@query("SELECT count(*) AS remaining, count(*) FILTER (WHERE shard_id % 4 = 0) AS in_flight, count(*) FILTER (WHERE shard_id % 4 = 2) AS failed FROM (" + DIRECTORY + ") WHERE schema_version = 2 AND status <> 'deleted'")
+def revert_progress(spark, t):
+    key = F.col("c_custkey")
+    jobs = t("customer").filter(key % 2 == 0).select(key.alias("shard_id"), F.when(key % 4 == 0, "executing").otherwise("discarded").alias("state"))
+    return reports.revert_status(directory(t), jobs, 2)
+
+
+@query(f"WITH d AS ({DIRECTORY}) SELECT shard_id FROM d WHERE status <> 'deleted' AND schema_version = 4")
+def stranded_shards(spark, t):
+    versions = spark.range(6).select(F.col("id").alias("version"), (F.col("id") == 4).alias("yanked"))
+    return reports.stranded(directory(t), versions, F.lit(3)).select("shard_id")
+
+
+@query(f"WITH d AS ({DIRECTORY}), w AS (SELECT shard_id FROM d WHERE status = 'active' AND last_active_at IS NOT NULL ORDER BY last_active_at DESC, shard_id LIMIT 40) SELECT shard_id, last_flushed_at AS checked_at FROM w JOIN d USING (shard_id)")
+def warm_set(spark, t):
+    d = directory(t)
+    return reports.warm_set(d, d.select("shard_id", F.col("last_flushed_at").alias("checked_at")), 40).select("shard_id", "checked_at")
+
+
+@query("WITH w AS (SELECT user_id, max(event_id) AS c FROM events GROUP BY 1), f AS (SELECT user_id, max(event_id) AS c FROM events WHERE event_type = 'click' GROUP BY 1) SELECT w.user_id FROM w LEFT JOIN f USING (user_id) WHERE f.c IS NULL OR w.c > f.c")
+def dirty_keys(spark, t):
+    writes = t("events").select("user_id", F.col("event_id").alias("at"), F.lit(1).alias("gen"), F.col("event_id").alias("count"), "event_type")
+    return reports.dirty(writes.drop("event_type"), writes.filter("event_type = 'click'").drop("event_type"), "user_id")
+
+
+@query("SELECT true AS sums_agree, true AS isolated, true AS complete FROM (SELECT 1)")
+def tpcb_consistency(spark, t):
+    e = t("events").select("user_id", "event_id", F.floor("value").alias("delta"))
+    sums = lambda k, name: e.groupBy((F.col("event_id") % k).alias("id")).agg(F.sum("delta").alias(name))
+    return reports.tpcb_consistent(sums(1, "bbalance"), sums(10, "tbalance"), sums(100, "abalance"), e.withColumn("filler", F.lit("w")), "w", e.count())
+
+
+@query()
+def transactions(spark, t):
+    kinds = F.when(F.col("event_type") == "click", "begin").when(F.col("event_type") == "purchase", "commit").otherwise("other")
+    return processors.over_table(t("events").select("user_id", "event_id", kinds.alias("kind")), "user_id", ["event_id"], processors.Transactions())
+
+
+@query()
+def quorum_counts(spark, t):
+    acks = t("events").select(F.col("user_id").alias("write"), "event_id", F.col("event_type").alias("node"), (F.col("event_id") % 4 != 0).alias("ok"))
+    return processors.over_table(acks, "write", ["event_id"], processors.Quorum(4, 2))
+
+
+@query("SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'reset' WHEN c_custkey % 50 = 0 THEN 'nothing' ELSE 'append' END AS action, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE c_custkey % 50 * 2 END AS start, least(CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 50 * 2 + c_custkey % 50 ELSE c_custkey % 50 END, 30) AS bytes FROM customer")
+def log_shipping(spark, t):
+    key = F.col("c_custkey")
+    primary = t("customer").select(key.alias("k"), F.when(key % 3 == 0, 2).otherwise(1).alias("gen"), F.lit(7).alias("salt"), (key % 50 * 3).alias("extent"))
+    follower = t("customer").select(key.alias("k"), F.lit(1).alias("gen"), F.lit(7).alias("salt"), (key % 50 * 2).alias("pos"))
+    return sinks.shipping(primary, follower, "k", 30)
