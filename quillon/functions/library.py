@@ -131,6 +131,13 @@ DATETIME = [
     ("dur_div", "l DOUBLE, r DOUBLE", "DOUBLE", f"CASE WHEN r = 0 THEN {_fail('division by zero', 'DOUBLE')} ELSE l / r END"),
 ]
 
+#: A format's directives, each a split of the format at its sign: the text before, the value, the text after.
+_DIRECTIVES = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss"}
+STRFTIME = "f"
+for _sign, _pattern in _DIRECTIVES.items():
+    STRFTIME = f"replace({STRFTIME}, '{_sign}', date_format(ts, '{_pattern}'))"
+STRFTIME = f"replace(replace(replace(replace({STRFTIME}, '%j', lpad(dayofyear(ts), 3, '0')), '%w', CAST(dayofweek(ts) - 1 AS STRING)), '%f', concat(date_format(ts, 'ss'), '.', date_format(ts, 'SSS'))), '%s', CAST(unix_micros(CAST(ts AS TIMESTAMP)) div 1000000 AS STRING))"
+
 TEXT = [
     ("py_lpad", "t STRING, n INT, fill STRING", "STRING", "CASE WHEN n < 0 THEN IF(fill IS NULL, NULL, left(t, greatest(length(t) + n, 0))) WHEN n <= length(t) THEN IF(fill IS NULL, NULL, left(t, n)) ELSE lpad(t, n, fill) END"),
     ("py_rpad", "t STRING, n INT, fill STRING", "STRING", "CASE WHEN n < 0 THEN IF(fill IS NULL, NULL, left(t, greatest(length(t) + n, 0))) ELSE rpad(t, n, fill) END"),
@@ -144,6 +151,9 @@ TEXT = [
     ("uuidv7", "", "STRING", "(SELECT concat(lpad(lower(hex(unix_millis(current_timestamp()))), 12, '0'), '7', substring(u, 14, 3), substring(u, 17)) FROM (SELECT replace(uuid(), '-', '') AS u))"),
     ("sqlite_lower", "t STRING", "STRING", "translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"),
     ("sqlite_upper", "t STRING", "STRING", "translate(t, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"),
+    ("sqlite_quote", "t STRING", "STRING", "coalesce(concat('\\'', replace(t, '\\'', '\\'\\''), '\\''), 'NULL')"),
+    ("sqlite_random", "", "BIGINT", "CAST((rand() - 0.5) * 18446744073709549568 AS BIGINT)"),
+    ("sqlite_strftime", "f STRING, ts TIMESTAMP_NTZ", "STRING", STRFTIME),
     ("like_escape", "t STRING", "STRING", r"replace(replace(replace(t, '\\', '\\\\'), '%', '\\%'), '_', '\\_')"),
 ]
 

@@ -112,3 +112,54 @@ def dirty(written: DataFrame, flushed: DataFrame, key: str) -> DataFrame:
     f = windows.latest(flushed, [key], "at", ["count"]).select(key, F.col("gen").alias("f_gen"), F.col("count").alias("f_count"))
     unflushed = F.col("f_gen").isNull() | (F.col("gen") != F.col("f_gen")) | (F.col("count") > F.col("f_count"))
     return w.join(f, key, "left").filter(unflushed).select(key)
+
+
+def dirty_age(shards: DataFrame, now: Column) -> DataFrame:
+    """One row: shards with unflushed activity and the age in seconds of the oldest."""
+    unflushed = F.col("last_active_at").isNotNull() & (F.col("last_flushed_at").isNull() | (F.col("last_active_at") > F.col("last_flushed_at")))
+    age = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("last_active_at").cast("timestamp"))) / 1e6
+    return shards.agg(F.count(F.when(unflushed, 1)).alias("dirty"), F.coalesce(F.max(F.when(unflushed, F.greatest(age, F.lit(0.0)))), F.lit(0.0)).alias("oldest_s"))
+
+
+def transaction_summary(txns: DataFrame) -> DataFrame:
+    """By kind: count and latency percentiles (microseconds); over all kinds: their rate a minute. txns: kind, began, us."""
+    p = lambda q: F.percentile("us", F.lit(q))
+    by_kind = txns.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), p(0.5).alias("p50"), p(0.99).alias("p99"), F.max("us").alias("max"))
+    began = F.unix_micros(F.col("began").cast("timestamp"))
+    span = txns.agg(((F.max(began + F.col("us")) - F.min(began)) / 6e7).alias("minutes"))
+    return by_kind.join(F.broadcast(span)).select("kind", "n", "p50", "p99", "max", (F.col("n") / F.when(F.col("minutes") > 0, F.col("minutes"))).alias("per_minute"))
+
+
+def best_copy(stored: DataFrame, offers: DataFrame, own: str) -> DataFrame:
+    """The freshest offer of each shard that is strictly fresher than the stored object; local first among equals, then by node.
+
+    stored: shard_id, epoch, gen, pos. offers: the same and node. A shard without one keeps the object.
+    """
+    stamp = lambda *p: F.struct(*(F.coalesce(F.col(f"{x}{c}"), F.lit(-1)).alias(c) for x in p for c in ("epoch", "gen", "pos")))
+    s = stored.select("shard_id", F.struct(*(F.coalesce(c, F.lit(-1)).alias(c) for c in ("epoch", "gen", "pos"))).alias("_stored"))
+    rows = offers.withColumn("_offer", stamp("")).join(s, "shard_id").filter(F.col("_offer") > F.col("_stored"))
+    best = rows.groupBy("shard_id").agg(F.max_by("node", F.struct("_offer", F.col("node") == own, "node")).alias("node"))
+    return stored.select("shard_id").join(best, "shard_id", "left").select("shard_id", F.coalesce("node", F.lit("object")).alias("source"))
+
+
+def still_valid(etag_before: Column, etag_now: Column, stamp_offer: Column, stamp_now: Column) -> Column:
+    """Whether a choice still holds after a slow transfer: object_moved, object_advanced or ok."""
+    return F.when(~etag_before.eqNullSafe(etag_now), "object_moved").when(stamp_now >= stamp_offer, "object_advanced").otherwise("ok")
+
+
+def affinity(moves: DataFrame, warm: DataFrame) -> DataFrame:
+    """Moves with whether their target had the shard warm."""
+    w = warm.select("shard_id", F.col("node_key").alias("to_node"), F.lit(True).alias("hit")).distinct()
+    return moves.join(w, ["shard_id", "to_node"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+
+
+def audit(entries: DataFrame, limit: int, **filters: str) -> DataFrame:
+    """The newest entries, by exact filters on columns."""
+    for column, value in filters.items():
+        entries = entries.filter(F.col(column) == F.lit(value))
+    return entries.orderBy(F.desc("at"), F.desc("id")).limit(limit)
+
+
+def refreshed(seen: DataFrame, source: DataFrame, since: Column) -> DataFrame:
+    """What was seen and what changed since, with an overlap: each row once."""
+    return seen.union(source.filter(F.col("updated_at") >= since).select(*seen.columns)).distinct()
