@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import aggregates, library, regex
-from quillon.operators import histograms, joins, paging, upserts, windows
+from quillon.operators import dml, histograms, joins, paging, upserts, windows
 from quillon.plans import fleet, policy, reports
 from quillon.runtime import ship
 from quillon.sources import generators, prometheus
@@ -609,3 +609,46 @@ def log_shipping(spark, t):
     primary = t("customer").select(key.alias("k"), F.when(key % 3 == 0, 2).otherwise(1).alias("gen"), F.lit(7).alias("salt"), (key % 50 * 3).alias("extent"))
     follower = t("customer").select(key.alias("k"), F.lit(1).alias("gen"), F.lit(7).alias("salt"), (key % 50 * 2).alias("pos"))
     return sinks.shipping(primary, follower, "k", 30)
+
+
+in_sql(
+    "formats_and_quotes",
+    "SELECT event_id, sqlite_strftime('%Y-%m %H:%M', ts) AS f, sqlite_quote(event_type) AS q, sqlite_lower(upper(event_type)) AS low, typeof(value) AS kind FROM {events}",
+    "SELECT event_id, strftime(ts, '%Y-%m %H:%M') AS f, chr(39) || event_type || chr(39) AS q, lower(event_type) AS low, 'double' AS kind FROM events",
+)
+
+
+@query("SELECT p_partkey, p_name, CASE WHEN p_size > 40 THEN 40 ELSE p_size END AS p_size FROM part WHERE p_size <> 3")
+def row_changes(spark, t):
+    part = t("part").select("p_partkey", "p_name", "p_size")
+    return dml.delete(dml.update(part, F.col("p_size") > 40, {"p_size": F.lit(40)})[0], F.col("p_size") == 3)[0]
+
+
+@query("""WITH s AS (SELECT c_custkey AS shard_id, c_custkey % 3 AS epoch, c_custkey % 4 AS gen, c_custkey % 50 AS pos FROM customer), o AS (SELECT shard_id, node, epoch, gen, pos FROM (SELECT o_custkey AS shard_id, o_orderpriority AS node, o_orderkey % 3 AS epoch, o_orderkey % 4 AS gen, o_orderkey % 50 AS pos FROM orders)),
+f AS (SELECT o.*, row_number() OVER (PARTITION BY o.shard_id ORDER BY o.epoch DESC, o.gen DESC, o.pos DESC, o.node = '1-URGENT' DESC, o.node DESC) AS rn FROM o JOIN s USING (shard_id) WHERE (o.epoch, o.gen, o.pos) > (s.epoch, s.gen, s.pos))
+SELECT s.shard_id, coalesce(f.node, 'object') AS source FROM s LEFT JOIN f ON f.shard_id = s.shard_id AND f.rn = 1""")
+def best_copies(spark, t):
+    key, order = F.col("c_custkey"), F.col("o_orderkey")
+    stored = t("customer").select(key.alias("shard_id"), (key % 3).alias("epoch"), (key % 4).alias("gen"), (key % 50).alias("pos"))
+    offers = t("orders").select(F.col("o_custkey").alias("shard_id"), F.col("o_orderpriority").alias("node"), (order % 3).alias("epoch"), (order % 4).alias("gen"), (order % 50).alias("pos"))
+    return reports.best_copy(stored, offers, "1-URGENT")
+
+
+@query("""WITH x AS (SELECT o_orderstatus AS kind, o_orderdate AS began, CAST(floor(o_totalprice) AS BIGINT) AS us FROM orders), m AS (SELECT (max(epoch_us(began) + us) - min(epoch_us(began))) / 60000000.0::DOUBLE AS minutes FROM x)
+SELECT kind, count(*) AS n, round(quantile_cont(us, 0.5), 4) AS p50, round(quantile_cont(us, 0.99), 4) AS p99, max(us) AS max, round(count(*) / max(minutes), 9) AS per_minute FROM x, m GROUP BY 1""")
+def transaction_latencies(spark, t):
+    txns = t("orders").select(F.col("o_orderstatus").alias("kind"), F.col("o_orderdate").alias("began"), F.floor("o_totalprice").cast("bigint").alias("us"))
+    return reports.transaction_summary(txns).withColumns({"p50": F.round("p50", 4), "p99": F.round("p99", 4), "per_minute": F.round("per_minute", 9)})
+
+
+@query(f"""WITH d AS ({DIRECTORY}), m AS (SELECT max(o_orderdate) AS now FROM orders) SELECT count(*) FILTER (WHERE dirty) AS dirty, round(max(CASE WHEN dirty THEN date_diff('microsecond', last_active_at, now) / 1000000.0::DOUBLE END), 3) AS oldest_s
+FROM (SELECT *, last_active_at IS NOT NULL AND (last_flushed_at IS NULL OR last_active_at > last_flushed_at) AS dirty FROM d), m""")
+def dirty_ages(spark, t):
+    now = t("orders").agg(F.max("o_orderdate")).first()[0]
+    return reports.dirty_age(directory(t), F.lit(now)).withColumn("oldest_s", F.round("oldest_s", 3))
+
+
+@query("SELECT shard_id, to_node, shard_id % 2 = 0 AS hit FROM (SELECT c_custkey AS shard_id, 'n' || c_custkey % 5 AS to_node FROM customer)")
+def warm_moves(spark, t):
+    moves = t("customer").select(F.col("c_custkey").alias("shard_id"), F.concat(F.lit("n"), (F.col("c_custkey") % 5).cast("string")).alias("to_node"))
+    return reports.affinity(moves, moves.filter("shard_id % 2 = 0").withColumnRenamed("to_node", "node_key"))
