@@ -61,7 +61,9 @@ V = [("v", VALUE, "q_value(dt, tz, conn)")]
 #: name, arguments, result type, body; later ones may call earlier ones.
 DATETIME = [
     # a year under four digits is filled up, as the cast asks for four
-    *_let("q_date", "s STRING", "DATE", [("d", "STRING", f"CASE WHEN s rlike '{DATE_RE}' THEN regexp_replace(s, '\\\\s', '') END")], "TRY_CAST(lpad(d, length(d) + greatest(5 - instr(d, '-'), 0), '0') AS DATE)"),
+    *_let("q_date_text", "s STRING", "STRING", [("d", "STRING", f"CASE WHEN s rlike '{DATE_RE}' THEN translate(s, ' \\t\\n\\r', '') END")], "lpad(d, length(d) + greatest(5 - instr(d, '-'), 0), '0')"),
+    ("q_date", "s STRING", "DATE", "TRY_CAST(q_date_text(s) AS DATE)"),
+    ("q_clock_only", "t STRING", "STRING", f"CASE WHEN t rlike '{TIME_RE}' THEN rtrim('.', translate(t, ' \\t\\n\\r', '')) END"),
     *_let(
         "q_clock", "s STRING", "BIGINT", [("p", "ARRAY<STRING>", f"CASE WHEN s rlike '{TIME_RE}' THEN split(s, ':') END")],
         "CASE WHEN CAST(trim(p[0]) AS INT) < 24 AND CAST(trim(p[1]) AS INT) < 60 AND CAST(substring_index(trim(p[2]), '.', 1) AS INT) < 60 THEN ((CAST(trim(p[0]) AS BIGINT) * 60 + CAST(trim(p[1]) AS BIGINT)) * 60 + CAST(substring_index(trim(p[2]), '.', 1) AS BIGINT)) * 1000000L "
@@ -69,9 +71,9 @@ DATETIME = [
     ),
     ("q_offset_cut", "t STRING", "STRING", "CASE WHEN instr(t, '-') > 0 THEN left(t, instr(t, '-') - 1) WHEN instr(t, '+') > 0 THEN left(t, instr(t, '+') - 1) ELSE t END"),
     *_let(
-        "q_stamp", "s STRING", VALUE, [("d", "DATE", "q_date(IF(instr(s, ' ') > 0, left(s, instr(s, ' ') - 1), s))"), ("us", "BIGINT", "q_clock(q_offset_cut(substring(s, instr(s, ' ') + 1)))")],
-        "CASE WHEN d IS NULL THEN NULL WHEN instr(s, ' ') = 0 THEN named_struct('ts', CAST(d AS TIMESTAMP_NTZ), 'timed', false) WHEN us IS NULL THEN NULL "
-        f"ELSE named_struct('ts', {SHIFTED.format('CAST(d AS TIMESTAMP_NTZ)', 'us')}, 'timed', true) END",
+        "q_stamp", "s STRING", VALUE,
+        [("ts", "TIMESTAMP_NTZ", "TRY_CAST(IF(instr(s, ' ') = 0, q_date_text(s), concat(q_date_text(left(s, instr(s, ' ') - 1)), ' ', q_clock_only(q_offset_cut(substring(s, instr(s, ' ') + 1))))) AS TIMESTAMP_NTZ)")],
+        "IF(ts IS NULL, NULL, named_struct('ts', ts, 'timed', instr(s, ' ') > 0))",
     ),
     (
         "q_zone_delta", "tz STRING", "STRUCT<name: STRING, us: BIGINT>",
