@@ -31,8 +31,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_marked: set[str] = set()
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quillon/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; all of an application's go when it ends."""
+    context = spark.sparkContext
+    root = f"{shared_dir(spark)}/quillon-{context.applicationId}"
+    if root not in _marked:
+        path = context._jvm.org.apache.hadoop.fs.Path(root)
+        system = path.getFileSystem(context._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _marked.add(root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
