@@ -17,8 +17,8 @@ from quillon.tenant import errors, splitter
 READS = {"SELECT", "VALUES", "WITH", "EXPLAIN", "DESCRIBE", "DESC", "SHOW", "TABLE", "FROM"}
 #: Words that reach beyond the tenant's tables, or change the session; refused in every scope.
 BLOCKED = {"ATTACH", "DETACH", "VACUUM", "ADD", "SET", "RESET", "USE", "LIST", "CACHE", "UNCACHE", "REFRESH", "LOAD", "ANALYZE", "MSCK", "PRAGMA"}
-#: Functions that run code or read files by name.
-REFUSED_FUNCTIONS = {"java_method", "reflect", "try_reflect", "read_files"}
+#: Functions that run code, read files by name, or tell where files are.
+REFUSED_FUNCTIONS = {"java_method", "reflect", "try_reflect", "read_files", "input_file_name", "input_file_block_start", "input_file_block_length"}
 
 
 class TenantSession:
@@ -76,9 +76,13 @@ class TenantSession:
                 parts = _items(node.multipartIdentifier())
                 if len(parts) != 1 or parts[0].lower() not in known:
                     raise errors.failure(errors.BLOCKED, f"no table {'.'.join(parts)}")
+            elif "UnresolvedIdentifier" in kind:
+                raise errors.failure(errors.BLOCKED, "a table must be named, not computed")
             elif any(w in kind for w in WRITING):
                 raise errors.failure(errors.READONLY, f"{kind} is not a query")
         text = plan.toString().lower()
+        if "_metadata" in text:
+            raise errors.failure(errors.BLOCKED, "_metadata is not available")
         for name in REFUSED_FUNCTIONS:
             if f"{name}(" in text:
                 raise errors.failure(errors.BLOCKED, f"{name} is not available")

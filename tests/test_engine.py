@@ -33,6 +33,7 @@ def test_queries_run(tenant):
         ("INSERT INTO t VALUES (1)", "FILO_READONLY"), ("/* x */ DROP TABLE t", "FILO_READONLY"), ("WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", "FILO_READONLY"), ("CREATE VIEW v AS SELECT 1", "FILO_READONLY"),
         ("SET a = b", "FILO_BLOCKED"), ("ADD JAR x", "FILO_BLOCKED"), ("VACUUM", "FILO_BLOCKED"), ("PRAGMA x = 1", "FILO_BLOCKED"), ("SELECT * FROM parquet.`/etc`", "FILO_BLOCKED"), ("SELECT * FROM other", "FILO_BLOCKED"),
         ("SELECT (SELECT max(id) FROM default.t)", "FILO_BLOCKED"), ("SELECT java_method('java.lang.System', 'exit', 1)", "FILO_BLOCKED"), ("SELECT nope FROM t", "SQLITE_ERROR"), ("SELECT FROM WHERE", "SQLITE_ERROR"), ("EXPLAIN DROP VIEW t", "FILO_READONLY"),
+        ("SELECT * FROM IDENTIFIER('other')", "FILO_BLOCKED"), ("SELECT TRANSFORM(id) USING 'cat' AS x FROM t", "FILO_READONLY"), ("SELECT input_file_name() FROM t", "FILO_BLOCKED"), ("SELECT _metadata.file_path FROM t", "FILO_BLOCKED"), ("FROM t INSERT INTO u SELECT id, 'a'", "FILO_READONLY"),
     ],
 )
 def test_what_is_refused(tenant, statement, code):
