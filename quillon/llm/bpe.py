@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import ahocorasick
@@ -26,9 +27,10 @@ from pyspark.sql import functions as F
 from .common import session
 
 #: Pieces in one generation of a worker's memory; it holds two.
-PIECES = 200_000
+PIECES = 150_000
 #: Adjacent pairs whose compatibility a worker remembers.
-PAIRS = 500_000
+PAIRS = 300_000
+NO_RANK = 1 << 31
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -43,6 +45,10 @@ def read_ranks(path: str) -> list[bytes]:
     return [ranks.get(i, b"") for i in range(max(ranks) + 1)]
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Pieces(dict):
     """Piece (str) to its ids, packed as little-endian 32-bit integers; filled on demand, in two generations."""
 
@@ -53,7 +59,7 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         packed = self.older.get(piece)
         if packed is None:
-            packed = np.array(self.encoder.encode_piece(piece.encode()), dtype="<u4").tobytes()
+            packed = pack_ids(self.encoder.encode_piece(piece.encode()))
         if len(piece) <= 64:
             if len(self) >= PIECES:
                 self.older = dict(self)
@@ -71,36 +77,52 @@ class Encoder:
         for t, i in self.rank.items():
             self.automaton.add_word(t.decode("latin-1"), i)
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.lengths = [len(t) for t in tokens]
+        self.pairs: dict[int, bool] = {}
         self.shorter: dict[int, int] = {}
-        self.sound: dict[int, bool] = {}
+        self.split: list[tuple[int, int] | None | bool] = [False] * len(tokens)
         self.pieces = Pieces(self)
 
-    def merged(self, piece: bytes) -> list[int]:
-        """Ids of a short piece by merging the lowest-ranked pair again and again: the definition."""
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            ranks = [self.rank.get(a + b, 1 << 31) for a, b in zip(parts, parts[1:], strict=False)]
-            best = min(ranks)
-            if best == 1 << 31:
-                break
-            at = ranks.index(best)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.rank[p] for p in parts]
-
-    def reachable(self, token: int) -> bool:
-        """Whether merging the entry's own bytes gives the entry."""
-        if token not in self.sound:
-            self.sound[token] = self.merged(self.tokens[token]) == [token]
-        return self.sound[token]
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two entries whose merge makes this one; (-1, -1) for a single byte, None if merging its bytes doesn't make it."""
+        known = self.split[token]
+        if known is False:
+            t = self.tokens[token]
+            parts = [t[i : i + 1] for i in range(len(t))]
+            while len(parts) > 2:
+                ranks = [self.rank.get(a + b, NO_RANK) for a, b in zip(parts, parts[1:], strict=False)]
+                best = min(ranks)
+                if best == NO_RANK:
+                    break
+                at = ranks.index(best)
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            known = (-1, -1) if len(parts) == 1 else (self.rank[parts[0]], self.rank[parts[1]]) if len(parts) == 2 else None
+            self.split[token] = known
+        return known
 
     def compatible(self, left: int, right: int) -> bool:
-        known = self.pairs.get((left, right))
+        """Whether two entries side by side, merged alone, stay as they are.
+
+        Time runs backwards: the entry that came last is taken apart, and what then touches at the seam must
+        not merge before the part is merged again. Of equal merges the left one comes first.
+        """
+        key = left << 32 | right
+        known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            known = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
-            self.pairs[left, right] = known
+            tokens, rank, lengths = self.tokens, self.rank, self.lengths
+            x, y, limit = left, right, NO_RANK
+            while True:
+                known = rank.get(tokens[x] + tokens[y], NO_RANK) >= limit
+                first, second = x if lengths[x] > 1 else -1, y if lengths[y] > 1 else -1
+                if not known or first == second == -1:
+                    break
+                if first > second:
+                    limit, x = x, self.halves(x)[1]
+                else:
+                    limit, y = y + 1, self.halves(y)[0]
+            self.pairs[key] = known
         return known
 
     def next_shorter(self, token: int) -> int:
@@ -115,27 +137,33 @@ class Encoder:
             return []
         if piece in self.rank:
             return [self.rank[piece]]
-        longest = [-1] * len(piece)
-        lengths = self.tokens
+        size = len(piece)
+        longest = [-1] * size
+        lengths, pairs, split = self.lengths, self.pairs, self.split
         for end, token in self.automaton.iter(piece.decode("latin-1")):
-            longest[end + 1 - len(lengths[token])] = token  # ends only grow
-        dead = bytearray(len(piece) + 1)
+            longest[end + 1 - lengths[token]] = token  # ends only grow
+        dead = bytearray(size + 1)
         ids: list[int] = []
         at, token = 0, longest[0]
-        while at < len(piece):
+        while at < size:
+            last = ids[-1] if ids else -1
             while token >= 0:
-                end = at + len(lengths[token])
-                if not dead[end] and self.reachable(token) and (not ids or self.compatible(ids[-1], token)):
-                    break
+                end = at + lengths[token]
+                if not dead[end] and (split[token] or self.halves(token)):
+                    fits = last < 0 or pairs.get(last << 32 | token)
+                    if fits is None:
+                        fits = self.compatible(last, token)
+                    if fits:
+                        break
                 token = self.next_shorter(token)
             if token >= 0:
                 ids.append(token)
                 at = end
-                token = longest[at] if at < len(piece) else -1
+                token = longest[at] if at < size else -1
             elif ids:
                 dead[at] = 1
-                last = ids.pop()
-                at -= len(lengths[last])
+                ids.pop()
+                at -= lengths[last]
                 token = self.next_shorter(last)
             else:
                 raise ValueError("the vocabulary lacks single bytes")
