@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.clock import micros
+
 
 def counter_rate(df: DataFrame, key: str, at: str, counter: str, name: str = "rate") -> DataFrame:
     """Adds the rate per second since the key's row before. A counter that fell was reset: all of it counts.
@@ -12,7 +14,7 @@ def counter_rate(df: DataFrame, key: str, at: str, counter: str, name: str = "ra
     The first row of a key has no rate. Windows are a millisecond at least.
     """
     own = Window.partitionBy(key).orderBy(at)
-    before, seconds = F.lag(counter).over(own), F.greatest((F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.lag(at).over(own).cast("timestamp"))) / 1e6, F.lit(0.001))
+    before, seconds = F.lag(counter).over(own), F.greatest((micros(F.col(at)) - micros(F.lag(at).over(own))) / 1e6, F.lit(0.001))
     grown = F.when(F.col(counter) < before, F.col(counter)).otherwise(F.col(counter) - before)
     return df.withColumn(name, grown / seconds)
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.clock import micros
 from quillon.operators import joins
 
-STAMP = "^([0-9]{8})T([0-9]{6})Z"
+STAMP = "^([0-9]{4})([0-9]{2})([0-9]{2})T([0-9]{2})([0-9]{2})([0-9]{2})Z.*$"
 
 
 def loss_report(shards: DataFrame, limit: int) -> DataFrame:
@@ -47,7 +48,7 @@ def outstanding_tokens(issued: DataFrame, floors: DataFrame) -> DataFrame:
 
 def token_accepted(version: Column, floor: Column, bumped_at: Column, now: Column, grace_s: float, hard: Column) -> Column:
     """At the floor or over; one below it within the grace, unless the revocation was hard."""
-    young = F.unix_micros(now.cast("timestamp")) <= F.unix_micros(bumped_at.cast("timestamp")) + int(grace_s * 1e6)
+    young = micros(now) <= micros(bumped_at) + int(grace_s * 1e6)
     return (version >= floor) | ((version == floor - 1) & ~hard & F.coalesce(young, F.lit(False)))
 
 
@@ -75,9 +76,9 @@ def retention(ids: DataFrame, now: Column, hourly: int, daily: int, weekly: int,
     The newest of each of the newest populated hours, days and ISO weeks is kept, and all that lie in the future.
     Periods are found by partial aggregation, so only period rows are ranked, not snapshots.
     """
-    stamp = F.try_to_timestamp(F.concat(F.regexp_extract("id", STAMP, 1), F.regexp_extract("id", STAMP, 2)), F.lit("yyyyMMddHHmmss"))
+    stamp = F.regexp_replace("id", STAMP, "$1-$2-$3 $4:$5:$6").try_cast("timestamp_ntz")
     keys = [owner] if owner else []
-    rows = ids.withColumn("ts", F.when(F.col("id").endswith("-auto"), stamp))
+    rows = ids.withColumn("ts", F.when(F.col("id").endswith("-auto") & F.col("id").rlike(STAMP), stamp))
     rows = rows.withColumn("week", F.expr("extract(YEAROFWEEK FROM ts) * 100 + weekofyear(ts)"))
     kept = None
     for period, count in ((F.date_format("ts", "yyyyMMddHH").cast("bigint"), hourly), (F.date_format("ts", "yyyyMMdd").cast("bigint"), daily), (F.col("week").cast("bigint"), weekly)):
@@ -86,7 +87,7 @@ def retention(ids: DataFrame, now: Column, hourly: int, daily: int, weekly: int,
         some = newest.withColumn("rn", rank).filter(F.col("rn") <= count).select(*keys, F.col("r.id").alias("id"))
         kept = some if kept is None else kept.union(some)
     kept = kept.distinct().withColumn("_kept", F.lit(True))
-    plan = F.when(F.col("ts").isNull(), "ineligible").when(F.col("_kept") | (F.col("ts") > now.cast("timestamp")), "keep").otherwise("drop")
+    plan = F.when(F.col("ts").isNull(), "ineligible").when(F.col("_kept") | (F.col("ts") > now.cast("timestamp_ntz")), "keep").otherwise("drop")
     return rows.join(kept, [*keys, "id"], "left").withColumn("plan", plan).drop("_kept", "week")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.clock import micros
 from quillon.operators import windows
 
 #: Hot rows that the planner looks at; they are taken hottest first, so later ones could only follow these.
@@ -27,7 +28,7 @@ def node_load(samples: DataFrame, key: str, node: str, at: str, rate: str) -> Da
 
 def cooling(overrides: DataFrame, now: Column, seconds: float) -> DataFrame:
     """Keys moved less than so many seconds ago; an unknown time counts as just now."""
-    recent = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("updated_at").cast("timestamp")) < seconds * 1e6
+    recent = micros(now) - micros(F.col("updated_at")) < seconds * 1e6
     return overrides.filter(F.coalesce(recent, F.lit(True))).select("shard_id")
 
 
@@ -85,6 +86,6 @@ def dead_pins(overrides: DataFrame, alive: DataFrame, in_flight: DataFrame, leas
     some = alive.limit(1).withColumn("_some", F.lit(True)).select("_some")
     pins = overrides.filter("failed_at IS NULL").join(alive, F.col("pinned_node") == F.col("node_key"), "left_anti").join(F.broadcast(some))
     pins = pins.join(in_flight.select("shard_id", F.lit(True).alias("_flying")), "shard_id", "left").join(leases.select("shard_id", "owner"), "shard_id", "left")
-    young = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("updated_at").cast("timestamp")) < grace_s * 1e6
+    young = micros(now) - micros(F.col("updated_at")) < grace_s * 1e6
     action = F.when(F.col("_flying"), "in_flight").when(young, "grace").when(F.col("owner").isNull(), "unpin").otherwise("divergence")
     return pins.select("shard_id", "pinned_node", action.alias("action"))

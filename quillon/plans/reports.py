@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.clock import micros
 from quillon.operators import windows
 
 
@@ -27,7 +28,7 @@ def roster(nodes: DataFrame, alive: DataFrame) -> DataFrame:
 
 def live_members(nodes: DataFrame, now: Column, window_s: float, own: str) -> DataFrame:
     """Nodes seen within the window that have an address, in order, without oneself."""
-    recent = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("last_seen_at").cast("timestamp")) <= int(window_s * 1e6)
+    recent = micros(now) - micros(F.col("last_seen_at")) <= int(window_s * 1e6)
     return nodes.filter(recent & F.col("address").isNotNull() & (F.col("node_key") != own)).orderBy("node_key")
 
 
@@ -47,7 +48,7 @@ def loss_samples(acked: DataFrame, flushed: DataFrame, key: str) -> DataFrame:
     own = Window.partitionBy(key).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
     last = F.last(F.when(F.col("kind") == 0, F.struct("at", "rows")), ignorenulls=True).over(own)
     rows = both.withColumn("_last", last).filter("kind = 1")
-    ms = (F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.col("_last.at").cast("timestamp"))) / 1000
+    ms = (micros(F.col("at")) - micros(F.col("_last.at"))) / 1000
     return rows.select(key, "at", (F.col("rows") - F.coalesce("_last.rows", F.lit(0))).alias("lost_rows"), F.greatest(ms, F.lit(0.0)).alias("lost_ms"))
 
 
@@ -73,9 +74,9 @@ def increase(df: DataFrame, keys: list[str], at: str, counter: str, window: str)
     own = Window.partitionBy(*keys).orderBy(at)
     before = F.lag(counter).over(own)
     grown = F.when(before.isNull(), F.lit(0.0)).when(F.col(counter) < before, F.col(counter)).otherwise(F.col(counter) - before)
-    out = df.withColumn("_grown", grown).groupBy(*keys, F.window(F.col(at).cast("timestamp"), window).alias("w")).agg(F.sum("_grown").alias("increase"))
-    seconds = (F.unix_micros("w.end") - F.unix_micros("w.start")) / 1e6
-    return out.select(*keys, F.col("w.start").cast("timestamp_ntz").alias("start"), "increase", (F.col("increase") / seconds).alias("rate"))
+    out = df.withColumn("_grown", grown).groupBy(*keys, F.window(at, window).alias("w")).agg(F.sum("_grown").alias("increase"))
+    seconds = F.timestamp_diff("MICROSECOND", F.col("w.start"), F.col("w.end")) / 1e6
+    return out.select(*keys, F.col("w.start").alias("start"), "increase", (F.col("increase") / seconds).alias("rate"))
 
 
 def tpcb_consistent(branches: DataFrame, tellers: DataFrame, accounts: DataFrame, history: DataFrame, writer: str, n: int) -> DataFrame:
@@ -102,7 +103,7 @@ def stranded(shards: DataFrame, versions: DataFrame, head: Column) -> DataFrame:
 
 def stalled_jobs(jobs: DataFrame, now: Column, age_s: float) -> DataFrame:
     """One row: jobs that wait or run for longer than the age."""
-    old = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("scheduled_at").cast("timestamp")) > int(age_s * 1e6)
+    old = micros(now) - micros(F.col("scheduled_at")) > int(age_s * 1e6)
     return jobs.filter(F.col("state").isin("available", "retryable", "executing") & old).agg(F.count(F.lit(1)).alias("stalled"))
 
 
@@ -117,7 +118,7 @@ def dirty(written: DataFrame, flushed: DataFrame, key: str) -> DataFrame:
 def dirty_age(shards: DataFrame, now: Column) -> DataFrame:
     """One row: shards with unflushed activity and the age in seconds of the oldest."""
     unflushed = F.col("last_active_at").isNotNull() & (F.col("last_flushed_at").isNull() | (F.col("last_active_at") > F.col("last_flushed_at")))
-    age = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("last_active_at").cast("timestamp"))) / 1e6
+    age = (micros(now) - micros(F.col("last_active_at"))) / 1e6
     return shards.agg(F.count(F.when(unflushed, 1)).alias("dirty"), F.coalesce(F.max(F.when(unflushed, F.greatest(age, F.lit(0.0)))), F.lit(0.0)).alias("oldest_s"))
 
 
@@ -125,7 +126,7 @@ def transaction_summary(txns: DataFrame) -> DataFrame:
     """By kind: count and latency percentiles (microseconds); over all kinds: their rate a minute. txns: kind, began, us."""
     p = lambda q: F.percentile("us", F.lit(q))
     by_kind = txns.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), p(0.5).alias("p50"), p(0.99).alias("p99"), F.max("us").alias("max"))
-    began = F.unix_micros(F.col("began").cast("timestamp"))
+    began = micros(F.col("began"))
     span = txns.agg(((F.max(began + F.col("us")) - F.min(began)) / 6e7).alias("minutes"))
     return by_kind.join(F.broadcast(span)).select("kind", "n", "p50", "p99", "max", (F.col("n") / F.when(F.col("minutes") > 0, F.col("minutes"))).alias("per_minute"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import aggregates, library, regex
+from quillon.functions.clock import micros
 from quillon.operators import dml, histograms, joins, paging, upserts, windows
 from quillon.plans import fleet, policy, reports
 from quillon.runtime import ship
@@ -475,7 +476,7 @@ def stock_level(spark, t):
 
 
 def _arrivals(t: Table) -> DataFrame:
-    return t("events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return t("events").select("user_id", "event_id", micros(F.col("ts")).alias("at"))
 
 
 @query()
@@ -645,7 +646,7 @@ def transaction_latencies(spark, t):
 FROM (SELECT *, last_active_at IS NOT NULL AND (last_flushed_at IS NULL OR last_active_at > last_flushed_at) AS dirty FROM d), m""")
 def dirty_ages(spark, t):
     now = t("orders").agg(F.max("o_orderdate")).first()[0]
-    return reports.dirty_age(directory(t), F.lit(now)).withColumn("oldest_s", F.round("oldest_s", 3))
+    return reports.dirty_age(directory(t), F.lit(str(now))).withColumn("oldest_s", F.round("oldest_s", 3))
 
 
 @query("SELECT shard_id, to_node, shard_id % 2 = 0 AS hit FROM (SELECT c_custkey AS shard_id, 'n' || c_custkey % 5 AS to_node FROM customer)")
