@@ -160,8 +160,13 @@ def _sliding(x: np.ndarray, op: np.ufunc) -> np.ndarray:
 
 
 def keys_of(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """What stands for an anchor in the exchange: the bucket's bits and 32 more."""
-    return hashes >> np.uint64(32 - bits)
+    """What stands for an anchor in the exchange: the bucket's bits and 32 more.
+
+    Anchors have small hashes, so these are mixed again; else most would fall into the first bucket.
+    """
+    mixed = hashes * MULTIPLIERS[3]
+    mixed ^= mixed >> np.uint64(32)
+    return (mixed * MULTIPLIERS[0]) >> np.uint64(32 - bits)
 
 
 def sent_keys(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
