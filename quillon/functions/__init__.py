@@ -1 +1 @@
-
+"""Functions of SQL and their Column forms."""

@@ -1 +1 @@
-
+"""Building blocks over DataFrames."""

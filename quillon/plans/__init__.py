@@ -1 +1 @@
-
+"""Composite queries."""

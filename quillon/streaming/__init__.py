@@ -1 +1 @@
-
+"""Stateful processing and sinks."""

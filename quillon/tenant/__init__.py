@@ -1,0 +1 @@
+"""One tenant's view of the engine."""

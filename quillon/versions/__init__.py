@@ -1,0 +1 @@
+"""Datasets with versions."""
