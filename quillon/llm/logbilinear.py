@@ -21,6 +21,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -114,8 +115,7 @@ class Encoded:
         for words in texts:
             stream += words
             stream.append(END)
-        get = vocabulary.rank.get
-        self.ranks = ranks = np.array([get(w, -1) for w in stream], np.int32)
+        self.ranks = ranks = np.fromiter(map(vocabulary.rank.get, stream, repeat(-1)), np.int32, len(stream))
         self.symbols, rows = vocabulary.symbol[ranks], vocabulary.context[ranks]
         self.rare_at = np.flatnonzero(ranks < 0)
         self.rare = [stream[i] for i in self.rare_at.tolist()]
@@ -124,9 +124,18 @@ class Encoded:
             self.symbols[self.rare_at], rows[self.rare_at] = SINGLE + classes, CONTEXT + classes
         self.contexts = contexts(rows, self.starts)
 
-    def rare_by_text(self) -> list[list[dict]]:
+    def rare_by_text(self) -> pa.ListArray:
+        """The distinct rare words of each text and how often it has them."""
         cuts = np.searchsorted(self.rare_at, [*self.starts.tolist(), len(self.ranks)]).tolist()
-        return [[{"token": t, "n": k} for t, k in Counter(self.rare[a:b]).items()] for a, b in zip(cuts, cuts[1:], strict=False)]
+        words: list[bytes] = []
+        times: list[int] = []
+        offsets = [0]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            held = Counter(self.rare[a:b])
+            words += held
+            times += held.values()
+            offsets.append(len(words))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64())], ["token", "n"]))
 
 
 def together(texts: list[bytes]) -> Iterator[tuple[int, list[list[bytes]]]]:
@@ -165,12 +174,19 @@ def contexts(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def spread(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the rows of ``values`` by index."""
+    columns = np.ascontiguousarray(values.T, dtype=np.float64)
+    return np.stack([np.bincount(index, c, size) for c in columns], axis=1).astype(np.float32)
+
+
 class Model:
     """Vectors of contexts and symbols, a weight vector per context place, and symbol biases."""
 
     def __init__(self, frequency: np.ndarray, seed: int = 3):
         r = np.random.RandomState(seed)
         self.noise = ((frequency + 1.0) / (frequency + 1.0).sum()).astype(np.float64)
+        self.log_noise = np.log(NOISE * self.noise).astype(np.float32)
         self.parts = [
             (r.randn(CONTEXT_ROWS, WIDTH) * 0.1).astype(np.float32),
             (r.randn(SYMBOLS, WIDTH) * 0.1).astype(np.float32),
@@ -190,22 +206,22 @@ class Model:
         """One noise-contrastive step over a minibatch; the noise sample is shared by its tokens."""
         vectors, symbols, places, bias = self.parts
         noise = r.choice(SYMBOLS, NOISE, p=self.noise)
-        log_noise = np.log(NOISE * self.noise).astype(np.float32)
-        q = self.predicted(context)
+        log_noise = self.log_noise
+        seen = [vectors[context[:, j]] for j in range(ORDER)]
+        q = sum(seen[j] * places[j] for j in range(ORDER))
         data = np.einsum("ij,ij->i", q, symbols[target]) + bias[target, 0] - log_noise[target]
         false = q @ symbols[noise].T + (bias[noise, 0] - log_noise[noise])
         up = 1 / (1 + np.exp(np.clip(data, -30, 30)))
         down = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
         dq = up[:, None] * symbols[target] + down @ symbols[noise]
         gradients = [np.zeros_like(p) for p in self.parts]
-        spread = lambda index, values, size: np.stack([np.bincount(index, values[:, d], size) for d in range(values.shape[1])], axis=1).astype(np.float32)
         gradients[1] += spread(target, q * up[:, None], SYMBOLS)
         np.add.at(gradients[1], noise, down.T @ q)
         gradients[3][:, 0] += np.bincount(target, up, SYMBOLS)
         np.add.at(gradients[3][:, 0], noise, down.sum(axis=0))
         for j in range(ORDER):
             gradients[0] += spread(context[:, j], dq * places[j], CONTEXT_ROWS)
-            gradients[2][j] += (dq * vectors[context[:, j]]).sum(axis=0)
+            gradients[2][j] += np.einsum("ij,ij->j", dq, seen[j])
         for p, g, s in zip(self.parts, gradients, self.squares, strict=True):
             g /= len(target)
             s += g * g
@@ -303,7 +319,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
                     [
                         pa.array(np.arange(uid, uid + n_texts)), batch.column(0).slice(first, n_texts), batch.column(2).slice(first, n_texts), pa.array(found.lengths),
                         pa.array(np.add.reduceat((found.ranks >= 0).astype(np.int64), found.starts)), pa.array(np.add.reduceat(known, found.starts) - log_all * found.lengths), pa.array(np.add.reduceat(within, found.starts)),
-                        pa.array(found.rare_by_text(), pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())]))),
+                        found.rare_by_text(),
                     ],
                     [x.split()[0] for x in SCORED.split(", ")[:7]] + ["rare"],
                 )
