@@ -5,7 +5,6 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
-from pyspark.sql import functions as F
 
 from quillon.llm import sharding, warc
 
@@ -141,4 +140,3 @@ def test_damage_is_noticed():
 
 def test_no_pages_no_records(spark, tmp_path):
     assert warc.archive(spark.createDataFrame([], PAGES), f"file://{tmp_path}/w").collect() == []
-    assert F is not None

@@ -9,7 +9,6 @@ import tiktoken
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from quillon.llm import bpe, quality, simhash
 
@@ -176,4 +175,3 @@ def test_rules_drop_junk_and_keep_clean_documents(spark):
     bare = quality.judge_documents(df, labels.filter("false"))
     assert bare.filter("kept").count() == 551
     assert quality.judge_documents(df.filter("false"), labels).collect() == []
-    assert F is not None
