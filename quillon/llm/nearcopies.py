@@ -33,6 +33,8 @@ from .common import known_text, materialise, session, text_bytes
 from .simhash import components, shingle_hashes
 
 POSITIONS, SHARED, DENSE, SHARE = 32, 3, 12, 4
+#: Members of a long list that meet its centre in one group.
+PORTION = 128
 KEYS = "tid binary, n int, positions int, keys array<long>, z binary"
 
 
@@ -105,8 +107,12 @@ def candidates(texts: DataFrame, similarity: float) -> DataFrame:
     small = paired(lists.filter(F.col("size") <= DENSE).groupBy("key").agg(F.collect_list(entry).alias("entries")))
     tallied = small.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("least").alias("least"))
     large = lists.filter(F.col("size") > DENSE)
-    centres = large.groupBy("key").agg(F.max_by(entry, F.struct("company", "tid")).alias("centre"))
-    starred = large.join(centres, "key").filter((F.col("tid") != F.col("centre.tid")) & (F.least("n", "centre.n") >= similarity * F.greatest("n", "centre.n")))
+    # a long list meets its centre in portions, so that none has a task of its own
+    portions = F.ceil(F.col("size") / PORTION).cast("int")
+    centres = large.groupBy("key").agg(F.max_by(entry, F.struct("company", "tid")).alias("centre"), F.max("size").alias("size"))
+    centres = centres.select("key", "centre", F.explode(F.sequence(F.lit(0), portions - 1)).alias("portion"))
+    dealt = large.withColumn("portion", F.pmod(F.xxhash64("tid"), portions).cast("int"))
+    starred = dealt.join(centres, ["key", "portion"]).filter((F.col("tid") != F.col("centre.tid")) & (F.least("n", "centre.n") >= similarity * F.greatest("n", "centre.n")))
     starred = starred.select(F.least("tid", "centre.tid").alias("a"), F.greatest("tid", "centre.tid").alias("b"))
     share = F.pmod(F.xxhash64("tid", "key"), F.ceil(F.col("size") / SHARE))
     shared = paired(large.groupBy("key", share.alias("share")).agg(F.collect_list(entry).alias("entries")))
