@@ -173,8 +173,14 @@ MATH = [
 ALL = [*DATETIME, *TEXT, *MATH]
 
 
+_known: set[str] = set()
+
+
 def register(spark: SparkSession) -> SparkSession:
-    """Make every function of the library known to the session; registering again changes nothing."""
-    for name, args, kind, body in ALL:
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {kind} RETURN {body}")
+    """Make every function of the library known to the session; a session that has them is left alone."""
+    session = spark._jsparkSession.sessionUUID()
+    if session not in _known:
+        for name, args, kind, body in ALL:
+            spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {kind} RETURN {body}")
+        _known.add(session)
     return spark
