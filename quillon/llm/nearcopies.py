@@ -10,7 +10,7 @@ shingles agree in at least ``SHARED`` positions.
 The inverted index maps a position and its bytes to the texts that have them. Pairs of a list are tallied, those
 that may share ``SHARED`` positions (all positions, where a text has fewer; lists too long to be paired count as
 shared) are kept, and each is verified by the Jaccard similarity of the whole shingle sets. A list of more than ``DENSE`` texts is not paired: each member
-meets the list's centre, the text with the most company in all its lists, and the few that fall into its
+meets the list's centre, the text with the most company in all its lists of the same level, and the few that fall into its
 random share of the list, anew in every list. Texts enter once, whatever their copies.
 
 Edge cases: null and empty texts are copies of the empty text; texts under five words are one shingle; of equal
@@ -93,9 +93,12 @@ def candidates(texts: DataFrame, similarity: float) -> DataFrame:
     index = texts.select("tid", "n", "positions", F.explode("keys").alias("key"))
     sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     listed = materialise(index.join(sizes, "key"), "positions")
-    # what a text's lists say about it: its company in all of them, and how many are too long to be paired
-    company = listed.groupBy("tid").agg(F.sum(F.log2("size")).alias("company"), F.count(F.when(F.col("size") > DENSE, 1)).cast("int").alias("crowds"))
-    lists = materialise(listed.join(company, "tid"), "lists")
+    # what a text's lists say about it: its company at each level (a text has one, or two that follow each other),
+    # and how many are too long to be paired
+    even = F.col("key").bitwiseAND(F.lit(256)) == 0
+    met = F.log2("size")
+    company = listed.groupBy("tid").agg(F.sum(F.when(even, met)).alias("even"), F.sum(F.when(~even, met)).alias("odd"), F.count(F.when(F.col("size") > DENSE, 1)).cast("int").alias("crowds"))
+    lists = materialise(listed.join(company, "tid").withColumn("company", F.when(even, F.col("even")).otherwise(F.col("odd"))).drop("even", "odd"), "lists")
     entry = F.struct("tid", "n", "positions", "crowds")
 
     def paired(grouped: DataFrame) -> DataFrame:

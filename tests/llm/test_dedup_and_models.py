@@ -215,6 +215,23 @@ def test_near_copies_leave_one_of_each_group(spark, monkeypatch, dense):
     assert nearcopies.one_of_each(frame(spark, [])).collect() == []
 
 
+def test_a_copy_of_two_levels_does_not_displace_the_original(spark):
+    r = random.Random(5)
+    base = [f"w{r.randrange(10**9)}" for _ in range(823)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 121):
+        copy = list(base)
+        at = r.randrange(0, 700)
+        copy[at : at + 74] = [f"w{r.randrange(10**9)}" for _ in range(74 + (3 if i % 3 == 0 else -3))]
+        rows.append((i, " ".join(copy)))
+    assert {len(nearcopies.levels(len(nearcopies.shingle_set(t.encode(), 5)))) for _, t in rows} == {1, 2}
+    assert len(nearcopies.similar_pairs([t for _, t in rows], 5, 0.8).query("i == 0")) == 120
+    named = {hashlib.md5(t.encode()).digest(): i for i, t in rows}
+    texts = nearcopies.indexed(spark.createDataFrame([(bytearray(k), rows[i][1]) for k, i in named.items()], "tid binary, text string"), 5)
+    pairs = [{named[bytes(x["a"])], named[bytes(x["b"])]} for x in nearcopies.candidates(texts, 0.8).collect()]
+    assert sum(0 in pair for pair in pairs) == 120
+
+
 def test_near_copies_of_the_test_table_are_all_found(spark):
     docs = spark.read.parquet(f"{oracle.ROOT}/sf0.01/documents.parquet")
     rows = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
