@@ -9,9 +9,12 @@ shingles agree in at least ``SHARED`` positions.
 
 The inverted index maps a position and its bytes to the texts that have them. Pairs of a list are tallied, those
 that may share ``SHARED`` positions (all positions, where a text has fewer; lists too long to be paired count as
-shared) are kept, and each is verified by the Jaccard similarity of the whole shingle sets. A list of more than ``DENSE`` texts is not paired: each member
-meets the list's centre, the text with the most company in all its lists of the same level, and the few that fall into its
-random share of the list, anew in every list. Texts enter once, whatever their copies.
+shared) are kept, and each is verified by the Jaccard similarity of the whole shingle sets. Each member of a list of more
+than ``DENSE`` texts first meets the list's centre only, the text with the most company in all its lists of the same
+level. Once components have joined what was found so far, texts of a long list that are still apart are compared,
+all with all in blocks: the largest component of the list makes blocks of its own, which don't meet each other, and
+a task takes one pair of blocks. So every pair of a long list is verified or connected. Texts enter once, whatever
+their copies.
 
 Edge cases: null and empty texts are copies of the empty text; texts under five words are one shingle; of equal
 rows one stays; null doc_ids lose against known ones; extra columns pass through, whatever their names; empty
@@ -32,9 +35,11 @@ from pyspark.sql import functions as F
 from .common import known_text, materialise, session, text_bytes
 from .simhash import components, shingle_hashes
 
-POSITIONS, SHARED, DENSE, SHARE = 32, 3, 12, 4
+POSITIONS, SHARED, DENSE = 32, 3, 12
 #: Members of a long list that meet its centre in one group.
 PORTION = 128
+#: Texts of a block of a long list, and shingles that are counted at once for two blocks.
+BLOCK, COUNTED = 128, 8192
 KEYS = "tid binary, n int, positions int, keys array<long>, z binary"
 
 
@@ -88,8 +93,8 @@ def indexed(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, KEYS)
 
 
-def candidates(texts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b), a < b, of tids that share enough positions; texts: tid, n, positions, keys, one row each."""
+def position_lists(texts: DataFrame) -> DataFrame:
+    """A row for each text of each list of two texts or more; texts: tid, n, positions, keys, one row each."""
     index = texts.select("tid", "n", "positions", F.explode("keys").alias("key"))
     sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     listed = materialise(index.join(sizes, "key"), "positions")
@@ -98,7 +103,12 @@ def candidates(texts: DataFrame, similarity: float) -> DataFrame:
     even = F.col("key").bitwiseAND(F.lit(256)) == 0
     met = F.log2("size")
     company = listed.groupBy("tid").agg(F.sum(F.when(even, met)).alias("even"), F.sum(F.when(~even, met)).alias("odd"), F.count(F.when(F.col("size") > DENSE, 1)).cast("int").alias("crowds"))
-    lists = materialise(listed.join(company, "tid").withColumn("company", F.when(even, F.col("even")).otherwise(F.col("odd"))).drop("even", "odd"), "lists")
+    return materialise(listed.join(company, "tid").withColumn("company", F.when(even, F.col("even")).otherwise(F.col("odd"))).drop("even", "odd"), "lists")
+
+
+def candidates(texts: DataFrame, similarity: float, lists: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b), a < b, of tids that share enough positions; of long lists only pairs with the centre."""
+    lists = position_lists(texts) if lists is None else lists
     entry = F.struct("tid", "n", "positions", "crowds")
 
     def paired(grouped: DataFrame) -> DataFrame:
@@ -117,9 +127,7 @@ def candidates(texts: DataFrame, similarity: float) -> DataFrame:
     dealt = large.withColumn("portion", F.pmod(F.xxhash64("tid"), portions).cast("int"))
     starred = dealt.join(centres, ["key", "portion"]).filter((F.col("tid") != F.col("centre.tid")) & (F.least("n", "centre.n") >= similarity * F.greatest("n", "centre.n")))
     starred = starred.select(F.least("tid", "centre.tid").alias("a"), F.greatest("tid", "centre.tid").alias("b"))
-    share = F.pmod(F.xxhash64("tid", "key"), F.ceil(F.col("size") / SHARE))
-    shared = paired(large.groupBy("key", share.alias("share")).agg(F.collect_list(entry).alias("entries")))
-    return tallied.filter("shared >= least").select("a", "b").union(starred).union(shared.select("a", "b")).distinct()
+    return tallied.filter("shared >= least").select("a", "b").union(starred).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -144,6 +152,67 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -
     return both.mapInArrow(run, "a binary, b binary")
 
 
+def shared_shingles(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``a`` with all sets of ``b``."""
+    flat = [np.concatenate(x) for x in (a, b)]
+    owner = [np.repeat(np.arange(len(x)), [len(y) for y in x]) for x in (a, b)]
+    both = np.intersect1d(*flat)
+    found = np.zeros((len(a), len(b)), np.float32)
+    for start in range(0, len(both), COUNTED):
+        some = both[start : start + COUNTED]
+        has = []
+        for x, o, sets in zip(flat, owner, (a, b), strict=True):
+            at = np.minimum(np.searchsorted(some, x), len(some) - 1)
+            hit = some[at] == x
+            has.append(np.zeros((len(sets), len(some)), np.float32))
+            has[-1][o[hit], at[hit]] = 1
+        found += has[0] @ has[1].T
+    return found
+
+
+def left_apart(large: DataFrame, roots: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Links (a, b) between the roots of texts that share a long list, have the similarity and are not connected.
+
+    large: key, tid, size of the list; roots: node, root.
+    """
+    session(texts.sparkSession)
+    root = F.coalesce("root", "tid")
+    members = materialise(large.select("key", "tid", "size").join(roots, F.col("tid") == F.col("node"), "left").select("key", "tid", root.alias("root"), "size"), "members")
+    parts = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("tid")).alias("texts"))
+    lists = parts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("size"), F.bit_xor("texts").alias("texts"))
+    # lists of the same texts count once
+    lists = lists.filter("size > most").groupBy("texts", "size").agg(F.min_by(F.struct("key", "main", "most"), "key").alias("l"))
+    mains, rest = F.ceil(F.col("l.most") / BLOCK).cast("int"), F.ceil((F.col("size") - F.col("l.most")) / BLOCK).cast("int")
+    portions = F.ceil(F.col("size") / PORTION).cast("int")
+    lists = lists.select("l.key", "l.main", mains.alias("mains"), rest.alias("rest"), F.explode(F.sequence(F.lit(0), portions - 1)).alias("portion"))
+    dealt = members.withColumn("portion", F.pmod(F.xxhash64("tid"), portions).cast("int")).drop("size").join(lists, ["key", "portion"])
+    place, inside = F.xxhash64("tid", "key"), F.col("root") == F.col("main")
+    own = F.when(inside, F.col("rest") + F.pmod(place, "mains")).otherwise(F.pmod(place, "rest")).cast("int")
+    last = F.when(inside, F.col("rest")).otherwise(F.col("rest") + F.col("mains")) - 1
+    placed = dealt.select("key", "tid", "root", own.alias("own"), last.alias("last")).join(texts.select("tid", "n", "z"), "tid")
+    facing = placed.select("key", "root", "n", "z", "own", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
+    facing = facing.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "root", "n", "z")
+
+    def run(group: pa.Table) -> pa.Table:
+        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+        own, n = group.column("own").to_numpy(), group.column("n").to_numpy().astype(np.int64)
+        name = np.array(group.column("root").to_pylist() + [None], object)[:-1]
+        kind = np.unique(np.array([x.hex() for x in name]), return_inverse=True)[1]
+        a, b = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        may = (kind[a][:, None] != kind[b]) & (np.minimum(n[a][:, None], n[b]) >= similarity * np.maximum(n[a][:, None], n[b]))
+        a, b, may = a[may.any(axis=1)], b[may.any(axis=0)], may[may.any(axis=1)][:, may.any(axis=0)]
+        links: set[tuple[bytes, bytes]] = set()
+        if len(a):
+            unpack, z = zstandard.ZstdDecompressor(), group.column("z")
+            sets = {i: shingle_set(unpack.decompress(z[i].as_py()), size) for i in {*a.tolist(), *b.tolist()}}
+            both = shared_shingles([sets[i] for i in a.tolist()], [sets[i] for i in b.tolist()])
+            alike = may & (both >= similarity * (n[a][:, None] + n[b] - both) - 1e-9)
+            links = {(name[a[i]], name[b[j]]) for i, j in np.argwhere(alike)}
+        return pa.table([pa.array([x for x, _ in links], pa.binary()), pa.array([x for _, x in links], pa.binary())], names=["a", "b"])
+
+    return facing.groupBy("key", "low", "high").applyInArrow(run, "a binary, b binary")
+
+
 def groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """tid (MD5 of the text), root (of its group), low (smallest doc_id of the text), one row per distinct text."""
     tid = F.unhex(F.md5(known_text().cast("binary")))
@@ -151,9 +220,14 @@ def groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame
     lows = named.groupBy("tid").agg(F.min("doc_id").alias("low"))
     found = indexed(named.select("tid", "text"), size).groupBy("tid").agg(*(F.first(c).alias(c) for c in ("n", "positions", "keys", "z")))
     texts = materialise(found, "texts")
-    pairs = materialise(candidates(texts, similarity), "pairs")
-    edges = verified(pairs, texts, size, similarity)
-    roots = components(edges)
+    lists = position_lists(texts)
+    pairs = materialise(candidates(texts, similarity, lists), "pairs")
+    roots = components(verified(pairs, texts, size, similarity))
+    more = materialise(left_apart(lists.filter(F.col("size") > DENSE), roots, texts, size, similarity), "links")
+    if not more.isEmpty():
+        upper = components(more).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        known = lows.select(F.col("tid").alias("node")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        roots = known.join(upper, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     return lows.join(roots, lows.tid == roots.node, "left").select("tid", F.coalesce("root", "tid").alias("root"), "low")
 
 

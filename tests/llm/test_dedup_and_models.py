@@ -232,6 +232,26 @@ def test_a_copy_of_two_levels_does_not_displace_the_original(spark):
     assert sum(0 in pair for pair in pairs) == 120
 
 
+def test_form_letters_that_share_a_passage_keep_their_own_copies(spark):
+    r = random.Random(6)
+    fresh = lambda k: [f"w{r.randrange(10**9)}" for _ in range(k)]
+    passage = fresh(205)
+    rows = []
+    for i in range(300):
+        own = fresh(28)
+        rows += [(2 * i, " ".join([*passage, *own])), (2 * i + 1, " ".join([*passage, *own[:4], *fresh(24)]))]
+    found = nearcopies.similar_pairs([t for _, t in rows], 5, 0.8)
+    assert sorted(found.itertuples(index=False, name=None)) == [(2 * i, 2 * i + 1) for i in range(300)]
+    assert sorted(x["doc_id"] for x in nearcopies.one_of_each(frame(spark, rows)).collect()) == list(range(0, 600, 2))
+
+
+def test_shared_shingles_are_counted(monkeypatch):
+    monkeypatch.setattr(nearcopies, "COUNTED", 7)
+    r = random.Random(7)
+    a, b = ([np.array(sorted(r.sample(range(60), r.randrange(1, 40))), np.uint64) for _ in range(k)] for k in (5, 6))
+    assert nearcopies.shared_shingles(a, b).tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in b] for x in a]
+
+
 def test_near_copies_of_the_test_table_are_all_found(spark):
     docs = spark.read.parquet(f"{oracle.ROOT}/sf0.01/documents.parquet")
     rows = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
