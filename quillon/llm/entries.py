@@ -13,7 +13,7 @@ from .common import documents
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sharding.placed(documents(spark, sf_dir), 16)
+    found = sharding.resharded(documents(spark, sf_dir), 16)
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import known_text, materialise
+from .common import fresh_path, known_text, materialise
 
 #: Fixed value: salts of a size class, so that a class that holds a third of all rows is many blocks.
 SALTS = 64
@@ -141,23 +141,43 @@ def placed(docs: DataFrame, capacities: Sequence[int] | int, old: F.Column | Non
     return dealt.join(F.broadcast(shift), ["old_shard", "piece"]).select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("place") + F.col("shift")).alias("slot"))
 
 
-def rewrite(spark, old_dir: str, new_dir: str, new_shards: int) -> list[tuple[int, str]]:
+def rewrite(spark, old_dir: str, new_dir: str, new_shards: int, slot: str | None = None) -> list[tuple[int, str]]:
     """Reshard a table kept as ``old_dir``/shard=K/: rewrite only the shards that give or take rows.
 
+    slot: a name for a column of the rewritten rows that keeps their slots; all shards are then rewritten.
     Returns (shard, folder) for every new shard; a folder under ``old_dir`` is a shard left as it was.
     """
     old = spark.read.parquet(old_dir)
     places = materialise(placed(old, new_shards, old["shard"], old_shards=0), "places")
-    changed = places.filter("old_shard != shard").select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
+    changed = places.filter(F.lit(slot is not None) | (F.col("old_shard") != F.col("shard"))).select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
     touched = sorted(r["shard"] for r in changed.collect())
     key = ["doc_id", "size", "text_crc32", "old_shard"]
-    nth = Window.partitionBy(*key)
     own = [F.col(c).alias(f"own_{c}") for c in old.columns if c != "shard"]
     rows = old.select(*own, F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(known_text()) + 1).cast("long").alias("size"), F.crc32(known_text().cast("binary")).alias("text_crc32"), F.col("shard").cast("int").alias("old_shard"))
-    rows = rows.withColumn("nth", F.row_number().over(nth.orderBy(F.lit(1)))).alias("r")
-    to = places.withColumn("nth", F.row_number().over(nth.orderBy("shard", "slot"))).filter(F.col("shard").isin(touched)).alias("p")
-    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"p.{k}")) for k in [*key, "nth"]]
-    moved = rows.join(to, same).select(*(F.col(f"own_{c}").alias(c) for c in old.columns if c != "shard"), F.col("p.shard").alias("shard"))
-    moved.write.partitionBy("shard").parquet(new_dir)
+    # rows and places in one table, so that texts move once: the nth row of a key takes its nth place
+    to = places.select(*key, F.col("shard").alias("to_shard"), F.col("slot").alias("to_slot"))
+    both = rows.unionByName(to, allowMissingColumns=True).repartition(*key).withColumn("placing", F.col("to_shard").isNotNull())
+    both = both.withColumn("nth", F.row_number().over(Window.partitionBy(*key, "placing").orderBy("to_shard", "to_slot")))
+    taken = Window.partitionBy(*key, "nth")
+    both = both.withColumns({c: F.max(c).over(taken) for c in ("to_shard", "to_slot")}).filter(~F.col("placing") & F.col("to_shard").isin(touched))
+    moved = both.select(*(F.col(f"own_{c}").alias(c) for c in old.columns if c != "shard"), F.col("to_shard").alias("shard"), *([] if slot is None else [F.col("to_slot").alias(slot)]))
+    moved.write.option("compression", "zstd").partitionBy("shard").parquet(new_dir)
     there = {r["shard"] for r in places.select("shard").distinct().collect()}
     return [(s, f"{new_dir if s in touched else old_dir}/shard={s}") for s in sorted(there)]
+
+
+def resharded(docs: DataFrame, new_shards: int, old_shards: int = 12) -> DataFrame:
+    """The rows of placed(), made from shards: the documents are laid out in ``old_shards`` shards by hash, these are
+    rewritten into ``new_shards`` in the shared folder, and what is in the new shards is read back."""
+    spark = docs.sparkSession
+    if docs.isEmpty():
+        return placed(docs, new_shards, old_shards=old_shards)
+    crc, size = F.crc32(known_text().cast("binary")), (F.octet_length(known_text()) + 1).cast("long")
+    old = F.pmod(F.xxhash64("doc_id", crc), F.lit(old_shards)).cast("int")
+    rest = [F.col(c).alias(f"c_{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
+    laid = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *rest).withColumn("shard", old)
+    old_dir, new_dir = fresh_path(spark, "old-shards"), fresh_path(spark, "new-shards")
+    laid.write.option("compression", "zstd").partitionBy("shard").parquet(old_dir)
+    made = rewrite(spark, old_dir, new_dir, new_shards, slot="slot")
+    back = spark.read.option("basePath", new_dir).parquet(*(folder for _, folder in made))
+    return back.select("doc_id", size.alias("size"), crc.alias("text_crc32"), old.alias("old_shard"), F.col("shard").cast("int").alias("shard"), "slot")

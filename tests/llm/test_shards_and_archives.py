@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from quillon.llm import sharding, warc
+from quillon.llm import entries, sharding, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard int, slot string"
 
@@ -83,6 +83,19 @@ def test_only_shards_that_give_or_take_are_rewritten(spark, tmp_path):
     assert all("/new/" in d for _, d in same)
 
 
+def test_the_query_writes_its_shards_and_reads_them_back(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame(rows(), DOCS)
+    monkeypatch.setattr(entries, "documents", lambda *_: docs)
+    monkeypatch.setattr(sharding, "fresh_path", lambda _, name: f"file://{tmp_path}/{name}", raising=False)
+    found = entries.op1_sharding(spark, "").collect()
+    kept = spark.read.parquet(f"file://{tmp_path}/new-shards").collect()
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter((r[0], r[1]) for r in rows())
+    assert Counter((r["doc_id"], r["size"], r["shard"], r["slot"]) for r in found) == Counter((r["doc_id"], len((r["text"] or "").encode()) + 1, r["shard"], r["slot"]) for r in kept)
+    names = ["doc_id", "size", "text_crc32", "shard", "slot", "old_shard"]
+    assert Counter(tuple(r[c] for c in names) for r in found) == Counter(sharding.placed(docs, 16).select(*names).collect())
+    assert sharding.resharded(docs.limit(0), 16).collect() == []
+
+
 PAGES = "page_id long, url string, html string, digest string"
 
 
