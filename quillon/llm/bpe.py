@@ -7,7 +7,9 @@ none fits it falls back to the next shorter prefix, and after the last of those
 previous token. Positions found to be dead ends are marked, so that no position is tried twice.
 
 Edge cases: null and empty texts have no ids; very long pieces cost time in proportion to their
-length; repeated rows give repeated results; an empty table gives an empty result.
+length; of merges with equal ranks the left one comes first; repeated rows and repeated doc_ids give a row each,
+a null doc_id stays null; columns other than doc_id and text are not used, so clashing names do no harm; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -177,11 +179,20 @@ class Encoder:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
 
 
-_encoders: dict[tuple[int, str], Encoder] = {}
+_encoders: dict[tuple[str, str], Encoder] = {}
 
 
-def encoder_for(tokens: list[bytes], key: tuple[int, str], pattern: str) -> Encoder:
-    """One automaton per Python worker, kept across its tasks."""
+def digest_of(tokens: list[bytes]) -> str:
+    """What tells one vocabulary from another, whatever its path."""
+    found = hashlib.sha256()
+    for t in tokens:
+        found.update(len(t).to_bytes(4, "little") + t)
+    return found.hexdigest()
+
+
+def encoder_for(tokens: list[bytes], vocabulary: str, pattern: str) -> Encoder:
+    """One automaton per Python worker, kept across its tasks; vocabulary: the digest of the tokens."""
+    key = vocabulary, pattern
     if key not in _encoders:
         _encoders.clear()
         _encoders[key] = Encoder(tokens, pattern)
@@ -195,10 +206,11 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, *, with_ids
     with_ids: also return the ids themselves (array<int>).
     """
     spark = session(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(read_ranks(vocabulary))
+    ranks = read_ranks(vocabulary)
+    shared, digest = spark.sparkContext.broadcast(ranks), digest_of(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_for(shared.value, (shared.id if hasattr(shared, "id") else 0, vocabulary), pattern)
+        encoder = encoder_for(shared.value, digest, pattern)
         for batch in batches:
             out: list[list] = [[], [], []]
             ids = []

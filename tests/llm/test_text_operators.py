@@ -34,6 +34,20 @@ def reference():
     return bpe.Encoder(tokens, public_tokenizers.PATTERN), tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def test_a_worker_tells_patterns_and_vocabularies_apart(spark, tmp_path):
+    one = spark.createDataFrame([(1, "the same worker", "en", "s", 0, "", "")], DOCS).coalesce(1)
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    count = lambda p, pattern: bpe.encode_documents(one, p, pattern).first()["n_tokens"]
+    few = tmp_path / "few"
+    lines = open(path, "rb").read().splitlines(keepends=True)
+    few.write_bytes(b"".join(lines[:256]))
+    whole = count(path, public_tokenizers.PATTERN)
+    assert whole < 15 and count(path, r"[\s\S]") == 15 and count(path, public_tokenizers.PATTERN) == whole
+    assert count(str(few), public_tokenizers.PATTERN) == 15
+    few.write_bytes(b"".join(lines))
+    assert count(str(few), public_tokenizers.PATTERN) == whole
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.one_of(st.text(max_size=60), st.text(alphabet="abé 'll\n", max_size=80)))
 def test_ids_equal_the_library(reference, text):
