@@ -135,6 +135,33 @@ def test_files_roll_and_are_the_same_each_time(spark, tmp_path):
     assert ids == sorted(ids) == list(range(300))
 
 
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_archives_do_not_depend_on_partitions(spark, tmp_path, monkeypatch, partitions):
+    monkeypatch.setattr(warc, "PART_BYTES", 20_000)
+    r = random.Random(2)
+    df = spark.createDataFrame([(r.choice([i, i, 5, None]), f"u{i % 7}", f"page {i % 90} " * r.choice([1, 50, 300]), "") for i in range(900)] + [(1, "u", "z" * 400_000, "")], PAGES)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    warc.write(warc.with_record_types(df), f"file://{tmp_path}/one", roll_bytes=9000)
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        warc.write(warc.with_record_types(df.repartition(partitions)), f"file://{tmp_path}/two", roll_bytes=9000)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    one, two = ({p.name: p.read_bytes() for p in (tmp_path / n).glob("*.warc.gz")} for n in ("one", "two"))
+    assert one == two and len({name.split("-")[1] for name in one}) > 5
+    names = [h["warc-record-id"] for x in one.values() for h, _ in warc.records(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(x))))]
+    assert len(names) == len(set(names)) == df.count()
+
+
+def test_parts_by_bounds_equal_a_plain_count(spark):
+    bounds = sorted((r, d) for r, d in [(-5, 1), (0, 7), (0, 9), (3, 3), (8, 0), (8, 1), (90, 2)])
+    rows = [(p, d) for p in range(-8, 12) for d in (0, 1, 3, 8, 9)] + [(91, 0), (90, 2)]
+    from pyspark.sql import functions as F
+
+    found = spark.createDataFrame(rows, "p long, d long").select("p", "d", F.struct("p", "d").alias("key")).select("p", "d", warc.part_of(bounds).alias("part")).collect()
+    assert all(r["part"] == sum(b <= (r["p"], r["d"]) for b in bounds) for r in found)
+
+
 def test_files_outside_the_manifest_do_not_count(spark, tmp_path):
     df = spark.createDataFrame([(1, "u", "x", "")], PAGES)
     folder = f"file://{tmp_path}/w"
