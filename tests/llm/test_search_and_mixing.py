@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillon.llm import maxscore, mixing
@@ -71,6 +72,57 @@ def test_quotas_follow_the_weights(spark):
     assert abs(mixing.entropy(weights) - 1.2) < 0.01
 
 
+@pytest.mark.parametrize("broadcast", [131_072, 0])
+def test_dealt_rows_equal_a_plain_reckoning(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(mixing, "BLOCKS", 4)
+    monkeypatch.setattr(mixing, "PARTS", 3)
+    df = docs(spark).union(docs(spark).filter("source = 'big'").limit(50))
+    seed = 17
+    h = F.xxhash64("doc_id", "text", F.lit(seed))
+    plain = df.select("doc_id", "source", mixing.tokens().alias("t"), F.pmod(h, F.lit(4)).alias("block"), F.pmod(F.shiftrightunsigned(h, 32), F.lit(3)).alias("part"), F.xxhash64(F.struct(*df.columns)).alias("row")).collect()
+    hashes = {}
+
+    def hashed(kind, *values):  # the engine's hash of a few values
+        if (kind, values) not in hashes:
+            typed = ", ".join("CAST(NULL AS STRING)" if v is None else f"'{v}'" if isinstance(v, str) else f"CAST({v} AS {k})" for v, k in zip(values, kind, strict=True))
+            hashes[kind, values] = spark.sql(f"SELECT xxhash64({typed}) AS h").first()["h"]
+        return hashes[kind, values]
+
+    want = Counter()
+    totals = Counter()
+    for r in plain:
+        totals[r["source"]] += r["t"]
+    known = sorted(totals.items(), key=lambda r: (r[0] is not None, r[0] or ""))
+    budget = 9000
+    for source, passes, beyond, _ in mixing.plan(known, budget, 1.1, 1.5):
+        mine = [r for r in plain if r["source"] == source]
+        for r in mine:
+            for k in range(passes):
+                want[r["doc_id"], k] += 1
+        room = beyond
+        order = sorted({r["block"] for r in mine}, key=lambda b: (hashed(("STRING", "INT", "BIGINT", "INT"), source, b, passes, seed), b))
+        for b in order:
+            rows = [r for r in mine if r["block"] == b]
+            size = sum(r["t"] for r in rows)
+            if room >= size:
+                want.update((r["doc_id"], passes) for r in rows)
+            elif room > 0:
+                left = room
+                for p in sorted({r["part"] for r in rows}, key=lambda p: (hashed(("STRING", "INT", "INT", "INT"), source, b, p, seed), p)):
+                    some = [r for r in rows if r["part"] == p]
+                    if left > 0:
+                        used = 0
+                        for r in sorted(some, key=lambda r: (hashed(("BIGINT", "BIGINT"), r["doc_id"], passes), r["doc_id"], r["row"])):
+                            used += r["t"]
+                            if used <= left:
+                                want[r["doc_id"], passes] += 1
+                    left -= sum(r["t"] for r in some)
+            room -= size
+    found = mixing.schedule(df, budget=budget, target_entropy=1.1).collect()
+    assert Counter((r["doc_id"], r["pass_no"]) for r in found) == want and any(k for _, k in want)
+
+
 def test_exponent_meets_entropy_and_repetition():
     totals = [1000, 100, 10]
     e, w = mixing.temperature(totals, 1110, target_entropy=0.8)
