@@ -55,6 +55,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_join(rows: DataFrame, table: DataFrame, key: str, by: str, salts: int = 32) -> DataFrame:
+    """rows joined with ``table`` (one row a key); rows of a frequent key are spread by the hash of ``by``, so none is one task's."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    named = salted.select(key, "_salt").distinct().join(table, key)
+    return salted.join(named, [key, "_salt"]).drop("_salt")
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

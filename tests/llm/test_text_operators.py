@@ -189,3 +189,10 @@ def test_rules_drop_junk_and_keep_clean_documents(spark):
     bare = quality.judge_documents(df, labels.filter("false"))
     assert bare.filter("kept").count() == 551
     assert quality.judge_documents(df.filter("false"), labels).collect() == []
+
+
+def test_list_hits_tell_agreeing_bytes():
+    from itertools import combinations
+
+    for agree, hits in ((8, {14}), (7, {7}), (6, {3}), (5, {1}), (4, {0, 1})):
+        assert {sum(set(b) <= set(c) for b in simhash.BLOCKS) for c in combinations(range(8), agree)} == hits
