@@ -6,9 +6,14 @@ Each old shard is an ordered run of blocks, largest rows first, and a flow is a
 run, so a piece's end is off by less than one of the smallest rows there. Places in a run come from sums
 over blocks (old shard, size class, salt) and one window within each block, never over a whole shard.
 
-Edge cases: a null text has size 1; rows that repeat wholly are counted first and dealt one by one at the
-end, so they need no common task; null doc_ids are ordinary keys; an empty table gives an empty result; no
-column of the input but doc_id and text is used, so clashing names do no harm.
+A rewrite works on a narrow table of rows, known by their file and place in it, until every row has its shard and slot;
+texts then move once, by file and place. Copies of a key are numbered within salts, so that a key that a third of
+all rows have is no task's alone, and the numbering follows from the files, so a task that runs again numbers alike.
+
+Edge cases: a null text has size 1; very long texts are a block like others, and a piece's end is off by up to one of
+them; rows that tie in size go by doc_id and checksum; rows that repeat wholly are counted first and dealt one by one
+at the end, in portions; null doc_ids are ordinary keys; an empty table gives an empty result; extra columns pass
+through rewrite(), and placed() uses doc_id and text alone, so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -23,6 +28,8 @@ from .common import fresh_path, known_text, materialise
 
 #: Fixed value: salts of a size class, so that a class that holds a third of all rows is many blocks.
 SALTS = 64
+#: Copies of a row that are dealt in one go.
+PORTION = 4096
 
 
 def min_cost_flow(supply: Sequence[int], capacity: Sequence[int], cost: Sequence[Sequence[int]]) -> list[list[int]]:
@@ -92,7 +99,7 @@ def transfers(old_bytes: Sequence[int], capacities: Sequence[int]) -> list[list[
 
 
 def placed(docs: DataFrame, capacities: Sequence[int] | int, old: F.Column | None = None, old_shards: int = 12) -> DataFrame:
-    """doc_id, size, text_crc32, old_shard, shard, slot: one row per input row.
+    """doc_id, size, text_crc32, old_shard, shard, slot, copy (number among equal ones): one row per input row.
 
     capacities: bytes that each new shard holds, or a number of shards of even sizes. old: the shard (int)
     that a row is in now; without it the layout is taken to be ``old_shards`` shards by hash.
@@ -102,6 +109,12 @@ def placed(docs: DataFrame, capacities: Sequence[int] | int, old: F.Column | Non
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), *([] if old is None else [old.cast("int").alias("old_shard")]))
     if old is None:
         narrow = narrow.withColumn("old_shard", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(old_shards)).cast("int"))
+    return dealt_out(narrow, capacities, old_shards if old is None else 0)
+
+
+def dealt_out(narrow: DataFrame, capacities: Sequence[int] | int, old_shards: int = 0) -> DataFrame:
+    """placed() for rows of doc_id, size, text_crc32 and old_shard; old_shards: how many there are at least."""
+    spark = narrow.sparkSession
     rows = narrow.groupBy("old_shard", "doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
     rows = rows.withColumns({"class": F.floor(F.log2("size") * 4).cast("int"), "salt": F.pmod(F.xxhash64("text_crc32", "doc_id"), F.lit(SALTS)).cast("int")})
     block = ["old_shard", "class", "salt"]
@@ -123,13 +136,16 @@ def placed(docs: DataFrame, capacities: Sequence[int] | int, old: F.Column | Non
             ends.append(at)
             targets.append(j)
         cuts.append((i, ends[:-1], targets or [0]))
-    plan = docs.sparkSession.createDataFrame(cuts, "old_shard int, ends array<bigint>, targets array<int>")
-    one = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k")
-    dealt = rows.join(bases, block).join(F.broadcast(plan), "old_shard").select("doc_id", "size", "text_crc32", "old_shard", "ends", "targets", "at", "base_at", "rank", "base_rank", one)
+    plan = spark.createDataFrame(cuts, "old_shard int, ends array<bigint>, targets array<int>")
+    dealt = rows.join(bases, block).join(F.broadcast(plan), "old_shard").select("doc_id", "size", "text_crc32", "old_shard", "ends", "targets", "at", "base_at", "rank", "base_rank", "n")
+    dealt = dealt.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(PORTION).cast("long"))))
+    many = dealt.filter(F.col("n") > PORTION).repartition("doc_id", "text_crc32", "from")
+    copies = F.explode(F.sequence(F.col("from"), F.least(F.col("from") + PORTION, "n") - 1))
+    dealt = dealt.filter(F.col("n") <= PORTION).union(many).withColumn("k", copies).drop("from", "n")
     middle = F.col("base_at") + F.col("at") + F.col("k") * F.col("size") + F.expr("size div 2")
     dealt = dealt.withColumns({"middle": middle, "place": F.col("base_rank") + F.col("rank") + F.col("k")})
     dealt = dealt.withColumn("piece", F.size(F.filter("ends", lambda e: e <= F.col("middle"))))
-    dealt = dealt.withColumn("shard", F.element_at("targets", F.col("piece") + 1)).drop("ends", "targets", "middle", "at", "base_at", "rank", "base_rank", "k")
+    dealt = dealt.withColumn("shard", F.element_at("targets", F.col("piece") + 1)).drop("ends", "targets", "middle", "at", "base_at", "rank", "base_rank")
     dealt = materialise(dealt, "shard-places")
     pieces = dealt.groupBy("old_shard", "piece", "shard").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).collect()
     filled = [0] * len(capacities)
@@ -137,8 +153,29 @@ def placed(docs: DataFrame, capacities: Sequence[int] | int, old: F.Column | Non
     for p in sorted(pieces, key=lambda p: (p["shard"], p["old_shard"] != p["shard"], p["old_shard"])):
         starts.append((p["old_shard"], p["piece"], filled[p["shard"]] - p["first"]))
         filled[p["shard"]] += p["n"]
-    shift = docs.sparkSession.createDataFrame(starts, "old_shard int, piece int, shift bigint")
-    return dealt.join(F.broadcast(shift), ["old_shard", "piece"]).select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("place") + F.col("shift")).alias("slot"))
+    shift = spark.createDataFrame(starts, "old_shard int, piece int, shift bigint")
+    return dealt.join(F.broadcast(shift), ["old_shard", "piece"]).select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("place") + F.col("shift")).alias("slot"), F.col("k").alias("copy"))
+
+
+KEY = ["doc_id", "size", "text_crc32", "old_shard"]
+#: What tells a row of a shard's Parquet files from all others, the same each time it is read.
+FILE = ("_metadata.file_name", "file"), ("_metadata.row_index", "line")
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left's columns and those of right that aren't keys; a null key equals a null key."""
+    theirs = right.select(*(F.col(c).alias(f"r_{c}") if c in keys else F.col(c) for c in right.columns))
+    return left.join(theirs, [F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in keys]).drop(*(f"r_{c}" for c in keys))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows (KEY, file, line) with ``copy``, the number of each row among those of its key, from 0."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("file", "line"), F.lit(SALTS)).cast("int"))
+    before = Window.partitionBy(*KEY).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    bases = salted.groupBy(*KEY, "salt").agg(F.count(F.lit(1)).alias("c")).withColumn("base", F.coalesce(F.sum("c").over(before), F.lit(0))).drop("c")
+    joined = null_safe_join(salted, bases, [*KEY, "salt"])
+    inside = Window.partitionBy(*KEY, "salt").orderBy("file", "line")
+    return joined.withColumn("copy", F.col("base") + F.row_number().over(inside) - 1).drop("salt", "base")
 
 
 def rewrite(spark, old_dir: str, new_dir: str, new_shards: int, slot: str | None = None) -> list[tuple[int, str]]:
@@ -148,19 +185,17 @@ def rewrite(spark, old_dir: str, new_dir: str, new_shards: int, slot: str | None
     Returns (shard, folder) for every new shard; a folder under ``old_dir`` is a shard left as it was.
     """
     old = spark.read.parquet(old_dir)
-    places = materialise(placed(old, new_shards, old["shard"], old_shards=0), "places")
+    size, crc = (F.octet_length(known_text()) + 1).cast("long"), F.crc32(known_text().cast("binary"))
+    narrow = materialise(old.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), F.col("shard").cast("int").alias("old_shard"), *(F.col(c).alias(n) for c, n in FILE)), "narrow")
+    places = materialise(dealt_out(narrow, new_shards, old_shards=0), "places")
     changed = places.filter(F.lit(slot is not None) | (F.col("old_shard") != F.col("shard"))).select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
     touched = sorted(r["shard"] for r in changed.collect())
-    key = ["doc_id", "size", "text_crc32", "old_shard"]
+    rows = numbered(narrow)
+    to = null_safe_join(rows, places, [*KEY, "copy"]).select("old_shard", "file", "line", F.col("shard").alias("to_shard"), F.col("slot").alias("to_slot")).filter(F.col("to_shard").isin(touched))
+    to = materialise(to, "moves")
     own = [F.col(c).alias(f"own_{c}") for c in old.columns if c != "shard"]
-    rows = old.select(*own, F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(known_text()) + 1).cast("long").alias("size"), F.crc32(known_text().cast("binary")).alias("text_crc32"), F.col("shard").cast("int").alias("old_shard"))
-    # rows and places in one table, so that texts move once: the nth row of a key takes its nth place
-    to = places.select(*key, F.col("shard").alias("to_shard"), F.col("slot").alias("to_slot"))
-    both = rows.unionByName(to, allowMissingColumns=True).repartition(*key).withColumn("placing", F.col("to_shard").isNotNull())
-    both = both.withColumn("nth", F.row_number().over(Window.partitionBy(*key, "placing").orderBy("to_shard", "to_slot")))
-    taken = Window.partitionBy(*key, "nth")
-    both = both.withColumns({c: F.max(c).over(taken) for c in ("to_shard", "to_slot")}).filter(~F.col("placing") & F.col("to_shard").isin(touched))
-    moved = both.select(*(F.col(f"own_{c}").alias(c) for c in old.columns if c != "shard"), F.col("to_shard").alias("shard"), *([] if slot is None else [F.col("to_slot").alias(slot)]))
+    moved = old.select(*own, F.col("shard").cast("int").alias("old_shard"), *(F.col(c).alias(n) for c, n in FILE)).join(to, ["old_shard", "file", "line"])
+    moved = moved.select(*(F.col(f"own_{c}").alias(c) for c in old.columns if c != "shard"), F.col("to_shard").alias("shard"), *([] if slot is None else [F.col("to_slot").alias(slot)]))
     moved.write.option("compression", "zstd").partitionBy("shard").parquet(new_dir)
     there = {r["shard"] for r in places.select("shard").distinct().collect()}
     return [(s, f"{new_dir if s in touched else old_dir}/shard={s}") for s in sorted(there)]
