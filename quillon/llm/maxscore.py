@@ -2,15 +2,21 @@
 
 A term is a component; its weight in a row is how far the row's value lies above the shard's smallest
 product with the query, so weights are never negative and each term has an upper bound in the shard. Terms
-are sorted by bound. Those whose bounds together cannot lift a row past the current tenth score are
+are sorted by bound. Those whose bounds together cannot lift a row past the current k-th score are
 non-essential. Essential terms are traversed for all rows of the shard, the others are probed a few at a
 time and only for rows that still compete. Shards and blocks of queries meet in a grid, so that neither is
 ever held whole, and the best of each shard are merged.
 
+Shards are searched in rounds, each with three times as many as all before it, and a query takes its k-th score so far
+into the next round as its threshold. So a round gives few rows a query beyond the first k, and the merged rows grow with
+the logarithm of the number of shards.
+
 Edge cases: null vectors, and vectors holding null or non-finite components, take no part, neither as query
 nor as candidate; empty vectors are rows without terms (score 0); vectors of unequal length are padded with
-zeros; ties go to the smaller vec_id; rows that repeat a vec_id are candidates each, and no query meets a
-row with its own id; a null vec_id takes no part. Scores must stay under 2**53 (they are exact below it).
+zeros; very long ones cost memory in proportion, a shard's rows and a block's queries at a time; ties go to the smaller
+vec_id; rows that repeat a vec_id are candidates each, and no query meets a row with its own id; a null vec_id takes no
+part; columns other than vec_id and embedding are not used, so clashing names do no harm; an empty table gives an empty
+result. Scores must stay under 2**53 (they are exact below it).
 """
 
 from __future__ import annotations
@@ -24,9 +30,11 @@ from pyspark.sql import functions as F
 
 from .common import materialise, session
 
-#: Queries in a block and rows in a shard of the grid.
-QUERY_BLOCK = 2048
+#: Queries in a block and rows in a shard of the grid; a vector is copied once for each block.
+QUERY_BLOCK = 32768
 SHARD_ROWS = 16384
+#: Shards up to a round's end, over those up to the end of the round before.
+GROWTH = 4
 PROBE = 8
 FOUND = "query_id long, vec_id long, score long"
 
@@ -53,8 +61,8 @@ def essential_split(bounds: np.ndarray, threshold: float) -> int:
     return int(np.argmax(rest < threshold)) if threshold > 0 else len(bounds)
 
 
-def search_shard(query: np.ndarray, query_id: int, ids: np.ndarray, columns: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best rows (ids, scores) of a shard for one query; columns holds a term a row, ids ascend."""
+def search_shard(query: np.ndarray, query_id: int, ids: np.ndarray, columns: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, known: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """The k best rows (ids, scores) of a shard for one query, none below the score known; columns holds a term a row, ids ascend."""
     worst = np.where(query > 0, query * low, query * high)
     bounds = np.where(query > 0, query * high, query * low) - worst
     base = worst.sum()
@@ -63,7 +71,7 @@ def search_shard(query: np.ndarray, query_id: int, ids: np.ndarray, columns: np.
     own = ids == query_id
     head = np.flatnonzero(~own)[: max(64, 4 * k)]
     exact = columns[order][:, head].T @ query
-    threshold = np.sort(exact)[-k] if len(exact) >= k else -np.inf
+    threshold = max(known, np.sort(exact)[-k] if len(exact) >= k else -np.inf)
     cut = essential_split(bounds, threshold - base)
     rest = np.concatenate([np.cumsum((bounds + worst)[::-1])[::-1], [0.0]])
     partial = query[:cut] @ columns[order[:cut]]
@@ -89,8 +97,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     rows = table.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(is_query, 1)).alias("q"), F.max(F.size("terms")).alias("width")).first()
     shards, blocks, width = max(1, -(-rows["n"] // SHARD_ROWS)), max(1, -(-rows["q"] // QUERY_BLOCK)), rows["width"] or 0
     place = F.xxhash64("vec_id", "terms")
-    candidates = table.select("vec_id", "terms", F.pmod(place, F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    asked = table.filter(is_query).select(F.col("vec_id").alias("query_id"), "terms", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(place, F.lit(blocks)).cast("int").alias("block"))
+    shard = F.pmod(place, F.lit(shards)).cast("int").alias("shard")
+    candidates = table.select("vec_id", "terms", shard, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    asked = table.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("terms").alias("query_terms"), F.pmod(place, F.lit(blocks)).cast("int").alias("block"))
 
     def cell(queries: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -99,15 +108,30 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
             ids = shard["vec_id"].to_numpy()
             columns = np.ascontiguousarray(matrix(shard["terms"], width).T)
             low, high = columns.min(axis=1, initial=0), columns.max(axis=1, initial=0)
-            for query_id, terms in zip(queries["query_id"], matrix(queries["terms"], width), strict=True):
-                found, scores = search_shard(terms, query_id, ids, columns, low, high, k)
+            for query_id, terms, known in zip(queries["query_id"], matrix(queries["query_terms"], width), queries["known"], strict=True):
+                found, scores = search_shard(terms, query_id, ids, columns, low, high, k, known)
                 out.append((np.full(len(found), query_id), found, scores.astype(np.int64)))
         parts = [np.concatenate(c) if c else np.empty(0, np.int64) for c in (zip(*out, strict=True) if out else ([], [], []))]
         return pd.DataFrame({"query_id": parts[0], "vec_id": parts[1], "score": parts[2]})
 
-    found = asked.groupBy("shard", "block").cogroup(candidates.groupBy("shard", "block")).applyInPandas(cell, FOUND)
     merged = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(merged)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = None
+    done, upto = 0, 1
+    while done < shards:
+        upto = min(upto, shards)
+        if best is None:
+            now = asked.withColumn("known", F.lit(float("-inf")))
+        else:
+            kth = best.filter(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("known"))
+            now = asked.join(kth, "query_id", "left").withColumn("known", F.coalesce("known", F.lit(float("-inf"))))
+        now = now.select("query_id", "query_terms", "block", "known", F.explode(F.sequence(F.lit(done), F.lit(upto - 1))).alias("shard"))
+        some = candidates.filter(F.col("shard").between(done, upto - 1))
+        found = now.groupBy("shard", "block").cogroup(some.groupBy("shard", "block")).applyInPandas(cell, FOUND)
+        found = found if best is None else found.union(best.select("query_id", "vec_id", "score"))
+        best = found.withColumn("rank", F.row_number().over(merged)).filter(F.col("rank") <= k)
+        done, upto = upto, upto * GROWTH
+        best = materialise(best, "best") if done < shards else best
+    return best.select("query_id", "rank", "vec_id", "score")
 
 
 def pairs_by_definition(ids: list[int], terms: np.ndarray, queries: Iterator[int], k: int) -> list[tuple[int, int, int, int]]:
