@@ -194,7 +194,7 @@ def rewrite(spark, old_dir: str, new_dir: str, new_shards: int, slot: str | None
     to = null_safe_join(rows, places, [*KEY, "copy"]).select("old_shard", "file", "line", F.col("shard").alias("to_shard"), F.col("slot").alias("to_slot")).filter(F.col("to_shard").isin(touched))
     to = materialise(to, "moves")
     own = [F.col(c).alias(f"own_{c}") for c in old.columns if c != "shard"]
-    moved = old.select(*own, F.col("shard").cast("int").alias("old_shard"), *(F.col(c).alias(n) for c, n in FILE)).join(to, ["old_shard", "file", "line"])
+    moved = old.select(*own, F.col("shard").cast("int").alias("old_shard"), *(F.col(c).alias(n) for c, n in FILE)).join(to.hint("merge"), ["old_shard", "file", "line"])
     moved = moved.select(*(F.col(f"own_{c}").alias(c) for c in old.columns if c != "shard"), F.col("to_shard").alias("shard"), *([] if slot is None else [F.col("to_slot").alias(slot)]))
     moved.write.option("compression", "zstd").partitionBy("shard").parquet(new_dir)
     there = {r["shard"] for r in places.select("shard").distinct().collect()}
