@@ -13,6 +13,8 @@ VALUE = "STRUCT<ts: TIMESTAMP_NTZ, timed: BOOLEAN>"
 DATE_RE = r"^\\s*[0-9]{1,4}\\s*-\\s*[0-9]{1,2}\\s*-\\s*[0-9]{1,2}\\s*$"
 TIME_RE = r"^\\s*[0-9]{1,2}\\s*:\\s*[0-9]{1,2}\\s*:\\s*[0-9]{1,2}([.][0-9]*)?\\s*$"
 DAY_US = 86_400_000_000
+#: The form that nearly all values have, which a plain cast reads; others take the patterns.
+CANONICAL = "length(s) IN (10, 19, 26) AND substring(s, 5, 1) = '-' AND substring(s, 8, 1) = '-' AND translate(s, '0123456789', '') IN ('--', '-- ::', '-- ::.')"
 
 
 def _fail(message: str, kind: str) -> str:
@@ -66,13 +68,15 @@ DATETIME = [
     ("q_clock_only", "t STRING", "STRING", f"CASE WHEN t rlike '{TIME_RE}' THEN rtrim('.', translate(t, ' \\t\\n\\r', '')) END"),
     *_let(
         "q_clock", "s STRING", "BIGINT", [("p", "ARRAY<STRING>", f"CASE WHEN s rlike '{TIME_RE}' THEN split(s, ':') END")],
-        "CASE WHEN CAST(trim(p[0]) AS INT) < 24 AND CAST(trim(p[1]) AS INT) < 60 AND CAST(substring_index(trim(p[2]), '.', 1) AS INT) < 60 THEN ((CAST(trim(p[0]) AS BIGINT) * 60 + CAST(trim(p[1]) AS BIGINT)) * 60 + CAST(substring_index(trim(p[2]), '.', 1) AS BIGINT)) * 1000000L "
+        "CASE WHEN length(s) = 8 AND translate(s, '0123456789', '') = '::' AND substring(s, 3, 1) = ':' AND substring(s, 6, 1) = ':' THEN "
+        "CASE WHEN left(s, 2) < '24' AND substring(s, 4, 2) < '60' AND right(s, 2) < '60' THEN ((CAST(left(s, 2) AS BIGINT) * 60 + CAST(substring(s, 4, 2) AS BIGINT)) * 60 + CAST(right(s, 2) AS BIGINT)) * 1000000L END "
+        "WHEN CAST(trim(p[0]) AS INT) < 24 AND CAST(trim(p[1]) AS INT) < 60 AND CAST(substring_index(trim(p[2]), '.', 1) AS INT) < 60 THEN ((CAST(trim(p[0]) AS BIGINT) * 60 + CAST(trim(p[1]) AS BIGINT)) * 60 + CAST(substring_index(trim(p[2]), '.', 1) AS BIGINT)) * 1000000L "
         "+ IF(instr(p[2], '.') = 0, 0L, CAST(rpad(left(substring_index(trim(p[2]), '.', -1), 6), 6, '0') AS BIGINT)) END",
     ),
     ("q_offset_cut", "t STRING", "STRING", "CASE WHEN instr(t, '-') > 0 THEN left(t, instr(t, '-') - 1) WHEN instr(t, '+') > 0 THEN left(t, instr(t, '+') - 1) ELSE t END"),
     *_let(
         "q_stamp", "s STRING", VALUE,
-        [("ts", "TIMESTAMP_NTZ", "TRY_CAST(IF(instr(s, ' ') = 0, q_date_text(s), concat(q_date_text(left(s, instr(s, ' ') - 1)), ' ', q_clock_only(q_offset_cut(substring(s, instr(s, ' ') + 1))))) AS TIMESTAMP_NTZ)")],
+        [("ts", "TIMESTAMP_NTZ", f"CASE WHEN {CANONICAL} THEN TRY_CAST(s AS TIMESTAMP_NTZ) ELSE TRY_CAST(IF(instr(s, ' ') = 0, q_date_text(s), concat(q_date_text(left(s, instr(s, ' ') - 1)), ' ', q_clock_only(q_offset_cut(substring(s, instr(s, ' ') + 1))))) AS TIMESTAMP_NTZ) END")],
         "IF(ts IS NULL, NULL, named_struct('ts', ts, 'timed', instr(s, ' ') > 0))",
     ),
     (
@@ -128,6 +132,9 @@ DATETIME = [
         )
     ),
     ("dt_diff", "l STRING, r STRING", "STRING", "duration_text(django_timestamp_diff(l, r))"),
+    # sums of what may each be a duration (microseconds) or a time in text
+    ("q_dtdelta_add", "l STRING, l_text BOOLEAN, r STRING, r_text BOOLEAN", "STRING", "CASE WHEN l IS NULL OR r IS NULL THEN NULL WHEN l_text AND r_text THEN NULL WHEN l_text THEN dt_add(l, CAST(r AS BIGINT)) WHEN r_text THEN dt_add(r, CAST(l AS BIGINT)) ELSE duration_text(CAST(l AS BIGINT) + CAST(r AS BIGINT)) END"),
+    ("q_dtdelta_sub", "l STRING, l_text BOOLEAN, r STRING, r_text BOOLEAN", "STRING", "CASE WHEN l IS NULL OR r IS NULL THEN NULL WHEN l_text AND r_text THEN dt_diff(l, r) WHEN l_text THEN dt_sub(l, CAST(r AS BIGINT)) WHEN r_text THEN NULL ELSE duration_text(CAST(l AS BIGINT) - CAST(r AS BIGINT)) END"),
     ("dur_mul_int", "l BIGINT, r BIGINT", "BIGINT", "l * r"),
     ("dur_mul", "l DOUBLE, r DOUBLE", "DOUBLE", "l * r"),
     ("dur_div", "l DOUBLE, r DOUBLE", "DOUBLE", f"CASE WHEN r = 0 THEN {_fail('division by zero', 'DOUBLE')} ELSE l / r END"),
@@ -150,12 +157,15 @@ TEXT = [
     ("sha512", "t STRING", "STRING", "sha2(CAST(t AS BINARY), 512)"),
     ("bitxor", "x BIGINT, y BIGINT", "BIGINT", "x ^ y"),
     ("uuidv4", "", "STRING", "replace(uuid(), '-', '')"),
-    ("uuidv7", "", "STRING", "(SELECT concat(lpad(lower(hex(unix_millis(current_timestamp()))), 12, '0'), '7', substring(u, 14, 3), substring(u, 17)) FROM (SELECT replace(uuid(), '-', '') AS u))"),
+    # the time, and random bits of two random ids, the second with its variant
+    ("uuidv7", "", "STRING", "concat(lpad(lower(hex(unix_millis(current_timestamp()))), 12, '0'), '7', substring(replace(uuid(), '-', ''), 14, 3), substring(replace(uuid(), '-', ''), 17))"),
     ("sqlite_lower", "t STRING", "STRING", "translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"),
     ("sqlite_upper", "t STRING", "STRING", "translate(t, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"),
     ("sqlite_quote", "t STRING", "STRING", "coalesce(concat('\\'', replace(t, '\\'', '\\'\\''), '\\''), 'NULL')"),
     ("sqlite_random", "", "BIGINT", "CAST((rand() - 0.5) * 18446744073709549568 AS BIGINT)"),
     ("sqlite_strftime", "f STRING, ts TIMESTAMP_NTZ", "STRING", STRFTIME),
+    ("sqlite_kind", "kind STRING, absent BOOLEAN", "STRING", "CASE WHEN absent THEN 'null' WHEN kind IN ('tinyint', 'smallint', 'int', 'bigint', 'boolean') THEN 'integer' WHEN kind = 'binary' THEN 'blob' WHEN kind = 'double' OR kind = 'float' OR kind LIKE 'decimal%' THEN 'real' ELSE 'text' END"),
+    ("randomblob", "n INT", "BINARY", "substring(unhex(array_join(transform(sequence(1, greatest(1, (n + 15) div 16)), i -> sha2(CAST(concat(i, uuid()) AS BINARY), 256)), '')), 1, greatest(1, n))"),
     ("like_escape", "t STRING", "STRING", r"replace(replace(replace(t, '\\', '\\\\'), '%', '\\%'), '_', '\\_')"),
 ]
 

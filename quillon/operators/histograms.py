@@ -80,6 +80,18 @@ def nearest_rank(value: str, p: float) -> Column:
     return F.get(ordered, F.round((F.size(ordered) - 1) * F.lit(p / 100)).cast("int"))
 
 
+def nearest_ranks(df: DataFrame, keys: list[str], value: str, p: float, name: str) -> DataFrame:
+    """nearest_rank() of each group as rows: values are counted first, so a group's distinct values are ranked, not its rows."""
+    from pyspark.sql import Window
+
+    own = Window.partitionBy(*keys)
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(own.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    rank = F.round((F.sum("_c").over(own) - 1) * F.lit(p / 100))
+    placed = counted.withColumns({"_upto": upto, "_rank": rank}).filter("_upto > _rank")
+    return placed.groupBy(*keys).agg(F.min(value).alias(name))
+
+
 def windowed(df: DataFrame, key: str, at: str, vector: str) -> DataFrame:
     """Adds ``diff``: a cumulative vector less the one before it of the same key, never below 0; the first stands as it is."""
     from pyspark.sql import Window

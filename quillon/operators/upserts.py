@@ -30,10 +30,30 @@ def increment(table: DataFrame, keys: DataFrame, key: str, counter: str, first:
     return joined.withColumn(counter, F.coalesce(counter, F.lit(first)) + F.coalesce("_given", F.lit(False)).cast("int")).select(*table.columns)
 
 
-def replaced_members(table: DataFrame, members: DataFrame, owner: str) -> DataFrame:
-    """An owner's rows become exactly the given ones; other owners' rows stay."""
-    owners = members.select(owner).distinct()
-    return table.join(owners, owner, "left_anti").unionByName(members)
+def replaced_members(table: DataFrame, members: DataFrame, owner: str, of: list | None = None) -> DataFrame:
+    """An owner's rows become exactly the given ones; other owners' rows stay.
+
+    of: the owners that publish, so that an empty set sweeps an owner's rows; None: those of the given rows.
+    """
+    gone = table.join(members.select(owner).distinct(), owner, "left_anti") if of is None else table.filter(~F.coalesce(F.col(owner).isin(of), F.lit(False)))
+    return gone.unionByName(members)
+
+
+def tombstoned(table: DataFrame, keys: DataFrame, key: str, status: str = "deleted") -> DataFrame:
+    """The given keys get the status; those unseen come in with it."""
+    given = keys.select(key).distinct().withColumn("_given", F.lit(True))
+    joined = table.join(given, key, "full_outer")
+    return joined.select(*(F.when(F.col("_given"), F.lit(status)).otherwise(F.col(c)).alias(c) if c == "status" else F.col(c) for c in table.columns))
+
+
+def pruned_terminal(table: DataFrame, at: str, before: object, states: list[str]) -> DataFrame:
+    """Without rows in a terminal state that are older than ``before``."""
+    return table.filter(~F.coalesce(F.col("state").isin(states) & (F.col(at) < F.lit(before)), F.lit(False)))
+
+
+def expired(table: DataFrame, at: str, before: object) -> DataFrame:
+    """Pending rows older than ``before`` become expired."""
+    return table.withColumn("state", F.when((F.col("state") == "pending") & (F.col(at) < F.lit(before)), "expired").otherwise(F.col("state")))
 
 
 def conditional(table: DataFrame, where: Column, changes: dict[str, Column]) -> tuple[DataFrame, DataFrame]:

@@ -30,9 +30,19 @@ def laggards(shards: DataFrame, head: Column, template: str, limit: int | None =
 
 def head_version(versions: DataFrame) -> DataFrame:
     """head: the greatest version not yanked that is below the first one awaiting review; 0 without one. One row."""
-    barrier = F.min(F.when(F.col("requires_review"), F.col("version")))
-    good = F.array_compact(F.collect_set(F.when(~F.col("yanked"), F.col("version"))))
-    return versions.agg(barrier.alias("barrier"), good.alias("good")).select(F.coalesce(F.array_max(F.filter("good", lambda v: F.col("barrier").isNull() | (v < F.col("barrier")))), F.lit(0)).cast("bigint").alias("head"))
+    barrier = versions.agg(F.min(F.when(F.col("requires_review"), F.col("version"))).alias("barrier"))
+    good = ~F.col("yanked") & (F.col("barrier").isNull() | (F.col("version") < F.col("barrier")))
+    return versions.join(F.broadcast(barrier)).agg(F.coalesce(F.max(F.when(good, F.col("version"))), F.lit(0)).cast("bigint").alias("head"))
+
+
+def next_version(versions: DataFrame) -> DataFrame:
+    """next: one above the greatest version, yanked or not; 1 without one. One row."""
+    return versions.agg((F.coalesce(F.max("version"), F.lit(0)) + 1).cast("bigint").alias("next"))
+
+
+def revoked_floors(directory: DataFrame) -> DataFrame:
+    """shard_id and token_version of those whose tokens were ever revoked: a floor above the first."""
+    return directory.filter("token_version > 1").select("shard_id", "token_version")
 
 
 def rollout_eta(remaining: Column, cut_over: Column, window_s: float) -> Column:

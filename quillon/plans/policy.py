@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from quillon.functions.clock import micros
 from quillon.operators import windows
 
-#: Hot rows that the planner looks at; they are taken hottest first, so later ones could only follow these.
-CANDIDATES = 1000
-
 
 def hot_threshold(rates: DataFrame, rate: str, *, floor: float = 0.0, multiple: float = 20.0, fleet_mode: bool = False, fleet_p99: float | None = None) -> Column:
     """Aggregate: a positive floor; else the multiple of the fleet's p99 (0 without one in fleet mode); else of the rates' own p99."""
@@ -57,21 +54,24 @@ def propose(
     samples: DataFrame, overrides: DataFrame, backends: list[str], now: Column, *, floor: float = 0.0, multiple: float = 20.0, fleet_mode: bool = False, fleet_p99: float | None = None,
     confirm: int = 2, cooldown_s: float = 300, max_moves: int = 1, warm: DataFrame | None = None, band: float = 0.5, alive: list[str] | None = None,
 ) -> list[dict]:
-    """Moves (shard_id, from_node, to_node, q_per_s, threshold). Detection is distributed; only the fold over the few hot rows is not."""
+    """Moves (shard_id, from_node, to_node, q_per_s, threshold).
+
+    Detection is distributed. The fold over the hot rows, the hottest first, is not: it takes them a partition at a
+    time until there are ``max_moves``, or none is left. The loads it keeps are one number a node.
+    """
     if max_moves <= 0:
         return []
     last = windows.latest(samples, ["shard_id"], "sampled_at", ["node_key"])
     threshold = last.agg(hot_threshold(last, "q_per_s", floor=floor, multiple=multiple, fleet_mode=fleet_mode, fleet_p99=fleet_p99).alias("t")).first()["t"] or 0.0
-    rows = hot(samples, threshold, backends, cooling(overrides, now, cooldown_s), confirm).limit(CANDIDATES).collect()
+    rows = hot(samples, threshold, backends, cooling(overrides, now, cooldown_s), confirm)
+    if warm is not None:
+        at = warm.groupBy("shard_id").agg(F.collect_set("node_key").alias("warm"))  # one entry a node at most
+        rows = rows.join(at, "shard_id", "left").orderBy(F.desc("q_per_s"), "shard_id")
     load = {r["node_key"]: r["load"] for r in node_load(samples, "shard_id", "node_key", "sampled_at", "q_per_s").collect()}
-    warm_at: dict[str, set[str]] = {}
-    if warm is not None and rows:
-        for r in warm.filter(F.col("shard_id").isin([r["shard_id"] for r in rows])).collect():
-            warm_at.setdefault(r["shard_id"], set()).add(r["node_key"])
     targets = [n for n in backends if not alive or n in alive]
     moves: list[dict] = []
-    for r in rows:
-        to = choose_target(r["q_per_s"], r["node_key"], load, targets, warm_at.get(r["shard_id"], set()), band)
+    for r in rows.toLocalIterator():
+        to = choose_target(r["q_per_s"], r["node_key"], load, targets, set(r["warm"] or ()) if warm is not None else set(), band)
         if to is not None:
             moves.append({"shard_id": r["shard_id"], "from_node": r["node_key"], "to_node": to, "q_per_s": r["q_per_s"], "threshold": threshold})
             load[to] = load.get(to, 0.0) + r["q_per_s"]

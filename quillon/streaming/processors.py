@@ -3,16 +3,19 @@
 A processor has ``state`` (its schema), ``start`` (the first state) and ``step(state, row)``, which returns the next
 state and the verdict columns of the row. ``over_table`` puts a key's rows in order within one partition and
 folds over them with one state at a time, so a key's length costs no memory; ``over_stream`` keeps the state between
-micro-batches in Spark's state store.
+micro-batches in Spark's state store. Rows keep their types: a null key is a key of its own, and integers stay exact.
 """
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -53,7 +56,11 @@ class TokenBucket:
 
 @dataclass(frozen=True)
 class LogApply:
-    """Ordered log pushes (epoch, gen, salt, pos, size): append in place, restart from 0, or refuse with the place expected."""
+    """Ordered log pushes (epoch, gen, salt, pos, size): append in place, restart from 0, or refuse with the place expected.
+
+    A boolean column ``known`` says whether a key's log has been opened here; without it all have. A push to
+    another key is refused.
+    """
 
     state = "epoch long, gen long, salt long, next long, torn boolean"
     verdict = "outcome string, expected long"
@@ -61,6 +68,8 @@ class LogApply:
 
     def step(self, state, row):
         epoch, gen, salt, following, torn = state
+        if epoch is None and not getattr(row, "known", True):
+            return state, ("unknown_shard", 0)
         if epoch is not None and row.epoch < epoch:
             return state, ("stale_epoch", 0)
         another = epoch is None or row.epoch > epoch or row.salt != salt
@@ -77,7 +86,10 @@ class LogApply:
 
 @dataclass(frozen=True)
 class Quorum:
-    """Distinct acknowledgements of a write by ``n`` nodes: reached at ``q``, impossible once fewer than q can still come."""
+    """Distinct acknowledgements of a write by ``n`` nodes: reached at ``q``, impossible once fewer than q can still come.
+
+    A node that refused has refused, whatever it says later.
+    """
 
     n: int
     q: int
@@ -92,7 +104,6 @@ class Quorum:
     def step(self, state, row):
         acked, refused = set(state[0]), set(state[1])
         (acked if row.ok else refused).add(row.node)
-        refused -= acked
         outcome = "reached" if len(acked) >= self.q else "impossible" if self.n - len(refused) < self.q else "pending"
         return (sorted(acked), sorted(refused)), (outcome,)
 
@@ -124,36 +135,55 @@ def _joined(df: DataFrame, verdict: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *T._parse_datatype_string(verdict).fields])
 
 
+def _same(a: object, b: object) -> bool:
+    return a == b or (a != a and b != b)  # NaN is a key too
+
+
 def over_table(df: DataFrame, key: str, order: list[str], processor) -> DataFrame:
     """The rows with their verdicts; a key's rows are taken in the order given, which must be total."""
-    names = _fields(processor.verdict)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    verdict = T._parse_datatype_string(processor.verdict)
+    names = [f.name for f in verdict.fields]
+    kinds = {"boolean": pa.bool_(), "bigint": pa.int64(), "string": pa.string(), "double": pa.float64()}
+    types = [kinds[f.dataType.simpleString()] for f in verdict.fields]
+    columns = df.columns
+    at = columns.index(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Row = namedtuple("Row", columns, rename=True)
         now, state = object(), None
-        for part in parts:
+        for batch in batches:
             verdicts = []
-            for row in part.itertuples(index=False):
-                if getattr(row, key) != now:
-                    now, state = getattr(row, key), processor.start
+            for row in map(Row._make, zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                if not _same(row[at], now):
+                    now, state = row[at], processor.start
                 state, verdict = processor.step(state, row)
                 verdicts.append(verdict)
-            yield part.assign(**{n: [v[i] for v in verdicts] for i, n in enumerate(names)})
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([v[i] for v in verdicts], t) for i, t in enumerate(types))], names=[*columns, *names])
 
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, _joined(df, processor.verdict))
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, _joined(df, processor.verdict))
 
 
 def over_stream(df: DataFrame, key: str, order: list[str], processor) -> DataFrame:
     """The same over a stream; rows are put in order within a micro-batch."""
     names = _fields(processor.verdict)
+    # integers pass as text, since pandas turns a column with a null into floats
+    whole = [f.name for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)]
+    text = df.select(*(F.col(c).cast("string").alias(c) if c in whole else F.col(c) for c in df.columns))
 
     def run(_, parts: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
         state = tuple(held.get) if held.exists else processor.start
-        rows = pd.concat(list(parts)).sort_values(order)
+        rows = pd.concat(list(parts), ignore_index=True)
+        for c in whole:
+            rows[c] = pd.Series([None if x is None or x != x else int(x) for x in rows[c]], dtype=object)
+        rows = rows.sort_values(order)
         verdicts = []
         for row in rows.itertuples(index=False):
             state, verdict = processor.step(state, row)
             verdicts.append(verdict)
         held.update(tuple(state))
+        for c in whole:
+            rows[c] = [None if x is None else str(x) for x in rows[c]]
         yield rows.assign(**{n: [v[i] for v in verdicts] for i, n in enumerate(names)})
 
-    return df.groupBy(key).applyInPandasWithState(run, _joined(df, processor.verdict), processor.state, "append", "NoTimeout")
+    found = text.groupBy(key).applyInPandasWithState(run, _joined(text, processor.verdict), processor.state, "append", "NoTimeout")
+    return found.select(*(F.col(c).cast(df.schema[c].dataType).alias(c) if c in whole else F.col(c) for c in found.columns))

@@ -3,7 +3,8 @@
 A dataset is ``root/<id>/``: ``data/<version>/<table>/`` holds Parquet tables, ``manifests/<n>.json`` says which
 version is current after the n-th publication, and ``snapshots/<id>.json`` names kept versions. Publication
 creates the next manifest with the exclusive flag of the file system, so of two writers one loses. All access
-goes through Hadoop's file system, so any store that Spark reads will do.
+goes through Hadoop's file system; object stores whose creation is a check and a put, so not exclusive, are refused.
+Only the last ``KEPT`` manifests stay, so finding the current one lists few names.
 """
 
 from __future__ import annotations
@@ -15,8 +16,12 @@ from collections.abc import Callable, Mapping
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 FORMAT = "quillon-1"
+KEPT = 64
+#: File systems whose create() without overwriting is exclusive.
+EXCLUSIVE = {"file", "hdfs", "viewfs", "webhdfs", "ofs"}
 
 
 class Superseded(Exception):
@@ -37,6 +42,8 @@ class Store:
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if self._fs.getUri().getScheme() not in EXCLUSIVE:
+            raise Refused(f"{self._fs.getUri()} has no exclusive creation")
 
     def _at(self, *parts: str):
         return self._path("/".join((self.root, *parts)))
@@ -108,6 +115,8 @@ class Store:
         if self.etag(dataset) != before:
             raise Superseded(dataset)
         self._create({"version": version, "schema_version": schema_version, "at": datetime.now(UTC).isoformat()}, dataset, "manifests", f"{before + 1:012d}.json")
+        if before >= KEPT:
+            self._fs.delete(self._at(dataset, "manifests", f"{before + 1 - KEPT:012d}.json"), False)
         return before + 1
 
     def snapshot(self, dataset: str, label: str | None = None) -> str:
@@ -164,20 +173,30 @@ class Store:
         return found.getFileCount(), found.getLength()
 
     def inspect(self, dataset: str) -> dict[str, int]:
-        """Rows of each table of the current version."""
-        return {name: df.count() for name, df in self.tables(dataset).items()}
+        """Rows of each table of the current version, counted in one job."""
+        counts = None
+        for name, df in self.tables(dataset).items():
+            one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+            counts = one if counts is None else counts.union(one)
+        return {r["name"]: r["n"] for r in counts.collect()} if counts is not None else {}
 
     def export(self, dataset: str, folder: str) -> None:
-        """Each table as one file set under ``folder``."""
+        """Each table as Parquet files under ``folder``, written in parallel."""
         for name, df in self.tables(dataset).items():
-            df.coalesce(1).write.parquet(f"{folder}/{name}")
+            df.write.parquet(f"{folder}/{name}")
+
+    def drill(self, dataset: str, snapshot: str, schema_version: int, sentinel: str | None = None) -> str:
+        """Whether a snapshot could be restored: absent, sentinel, corrupt, schema_mismatch or ok.
 
-    def drill(self, dataset: str, snapshot: str, schema_version: int) -> str:
-        """Whether a snapshot could be restored: absent, corrupt, schema_mismatch or ok."""
+        sentinel: a table that must have rows, so that an empty object isn't taken for a good one.
+        """
         try:
             kept = self._read(dataset, "snapshots", f"{snapshot}.json")
-            for df in self.read_snapshot(dataset, snapshot).values():
+            tables = self.read_snapshot(dataset, snapshot)
+            for df in tables.values():
                 df.write.format("noop").mode("overwrite").save()
+            if sentinel is not None and (sentinel not in tables or tables[sentinel].isEmpty()):
+                return "sentinel"
         except Absent:
             return "absent"
         except Exception:  # any failure to read is what a drill is there to find
