@@ -45,3 +45,8 @@ def truncated(df: DataFrame, cap: int = 1000) -> tuple[list, bool]:
 def least_recent(df: DataFrame, touched: str, busy: str, live: str, n: int, tie: str) -> DataFrame:
     """Eviction candidates: live and not busy, the least recently touched first."""
     return df.filter(~F.col(busy) & F.col(live)).orderBy(touched, tie).limit(n)
+
+
+def top_and_total(df: DataFrame, order: list[Column | str], n: int) -> DataFrame:
+    """The first rows, each with the number of all rows."""
+    return top(df, order, n).join(F.broadcast(df.agg(F.count(F.lit(1)).alias("total"))))

@@ -47,3 +47,10 @@ def middle_row(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     own = Window.partitionBy(*keys)
     ranked = df.withColumns({"_rn": F.row_number().over(own.orderBy(*order)), "_n": F.count(F.lit(1)).over(own)})
     return ranked.filter(F.expr("_rn = (_n - 1) div 2 + 1")).drop("_rn", "_n")
+
+
+def growth_over_gaps(ticks: DataFrame, key: str, at: str, counter: str) -> DataFrame:
+    """Adds ``grown`` to the ticks that have a counter: a failed tick (NULL) drops out and keeps the baseline, so the next one spans it."""
+    good = ticks.filter(F.col(counter).isNotNull())
+    before = F.lag(counter).over(Window.partitionBy(key).orderBy(at))
+    return good.withColumn("grown", F.when(F.col(counter) < before, F.col(counter)).otherwise(F.col(counter) - before))

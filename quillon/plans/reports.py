@@ -164,3 +164,31 @@ def audit(entries: DataFrame, limit: int, **filters: str) -> DataFrame:
 def refreshed(seen: DataFrame, source: DataFrame, since: Column) -> DataFrame:
     """What was seen and what changed since, with an overlap: each row once."""
     return seen.union(source.filter(F.col("updated_at") >= since).select(*seen.columns)).distinct()
+
+
+def queue_gauges(jobs: DataFrame, queues: Sequence[str], states: Sequence[str], aged: str, now: Column) -> DataFrame:
+    """A row for each configured queue: a count for each state, and the age in seconds of the oldest job in state ``aged``; 0 where there is none."""
+    oldest = F.min(F.when(F.col("state") == aged, F.col("at")))
+    found = jobs.filter(F.col("queue").isin(*queues)).groupBy("queue").agg(*(F.count(F.when(F.col("state") == s, 1)).alias(s) for s in states), oldest.alias("oldest"))
+    known = jobs.sparkSession.createDataFrame([(q,) for q in queues], "queue string")
+    age = F.greatest(F.timestamp_diff("SECOND", F.col("oldest"), now), F.lit(0))
+    return known.join(F.broadcast(found), "queue", "left").select("queue", *(F.coalesce(s, F.lit(0)).alias(s) for s in states), F.coalesce(age, F.lit(0)).alias("age_s"))
+
+
+def job_counts(jobs: DataFrame, states: Sequence[str]) -> DataFrame:
+    """Jobs by queue and state, of the states that count."""
+    return jobs.filter(F.col("state").isin(*states)).groupBy("queue", "state").agg(F.count(F.lit(1)).alias("n"))
+
+
+def audit_filter(rows: DataFrame, equal: dict[str, object], least: dict[str, object]) -> DataFrame:
+    """The rows that match every filter that is given; one that is None doesn't count."""
+    for column, value in equal.items():
+        rows = rows if value is None else rows.filter(F.col(column) == F.lit(value))
+    for column, value in least.items():
+        rows = rows if value is None else rows.filter(F.col(column) >= F.lit(value))
+    return rows
+
+
+def membership(current: Sequence[str], live: Sequence[str], least: int) -> list[str]:
+    """The set to replicate over: the live nodes, or the current set while fewer than ``least`` are live."""
+    return sorted(live) if len(live) >= least else list(current)

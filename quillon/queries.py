@@ -39,7 +39,7 @@ def query(oracle: str | None = None) -> Callable:
     return register
 
 
-def in_sql(name: str, text: str, oracle: str) -> None:
+def in_sql(name: str, text: str, oracle: str | None = None) -> None:
     """Register SQL that names the standard tables as {table}; the function library is at hand."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,8 @@ def in_sql(name: str, text: str, oracle: str) -> None:
         return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in text})
 
     QUERIES[name] = run
-    ORACLES[name] = oracle
+    if oracle:
+        ORACLES[name] = oracle
 
 
 # --- date and time functions -------------------------------------------------------------------
@@ -94,18 +95,17 @@ in_sql(
     """SELECT l_orderkey, l_linenumber, date_diff('microsecond', o_orderdate, l_shipdate) AS us, date_diff('microsecond', date_trunc('day', l_shipdate) + INTERVAL 12 HOUR, l_shipdate) AS clock_us
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
 )
-in_sql(
-    "duration_arithmetic",
-    """SELECT event_id, duration_text(CAST(floor(value * 1000000) AS BIGINT)) AS text, dur_mul_int(event_id, 3) AS tripled, dur_div(event_id, 4) AS quarter, dt_add('2024-02-28', event_id * 3600000000) AS day FROM {events}""",
-    """SELECT event_id, CAST(us // 86400000000 AS VARCHAR).replace('x', '') AS text_days, 1 AS x FROM (SELECT event_id, CAST(floor(value * 1000000) AS BIGINT) AS us FROM events)""",
-)
-ORACLES["duration_arithmetic"] = """
+DURATIONS = """
 WITH d AS (SELECT event_id, CAST(floor(value * 1000000) AS BIGINT) AS us FROM events),
 f AS (SELECT event_id, CAST(floor(us / 86400000000.0) AS BIGINT) AS days, us - CAST(floor(us / 86400000000.0) AS BIGINT) * 86400000000 AS r FROM d)
 SELECT event_id, CASE WHEN days = 0 THEN '' WHEN abs(days) = 1 THEN days || ' day, ' ELSE days || ' days, ' END || CAST(r // 3600000000 AS VARCHAR) || ':' || lpad(CAST(r // 60000000 % 60 AS VARCHAR), 2, '0') || ':' ||
   lpad(CAST(r // 1000000 % 60 AS VARCHAR), 2, '0') || CASE WHEN r % 1000000 = 0 THEN '' ELSE '.' || lpad(CAST(r % 1000000 AS VARCHAR), 6, '0') END AS text,
   event_id * 3 AS tripled, event_id / 4.0::DOUBLE AS quarter, strftime(DATE '2024-02-28' + CAST(event_id // 24 AS INTEGER), '%Y-%m-%d') AS day FROM f"""
-
+in_sql(
+    "duration_arithmetic",
+    """SELECT event_id, duration_text(CAST(floor(value * 1000000) AS BIGINT)) AS text, dur_mul_int(event_id, 3) AS tripled, dur_div(event_id, 4) AS quarter, dt_add('2024-02-28', event_id * 3600000000) AS day FROM {events}""",
+    DURATIONS,
+)
 # --- text, hashes, regular expressions, mathematics -----------------------------------------------
 
 in_sql(
@@ -114,8 +114,7 @@ in_sql(
     "SELECT p_partkey, lpad(p_brand, 12, '*-') AS l, rpad(p_brand, 12, '*-') AS r, left(p_brand, length(p_brand) - 2) AS cut, repeat(p_brand, 2) AS twice, '' AS none, reverse(p_name) AS back, upper(p_name) AS up FROM part",
 )
 in_sql("hashes", "SELECT c_custkey, md5(c_name) AS m, sha1(c_name) AS s1, sha256(c_name) AS s256 FROM {customer}", "SELECT c_custkey, md5(c_name) AS m, sha1(c_name) AS s1, sha256(c_name) AS s256 FROM customer")
-in_sql("hashes_long", "SELECT c_custkey, sha224(c_name) AS s224, sha384(c_name) AS s384, sha512(c_name) AS s512 FROM {customer}", "")
-del ORACLES["hashes_long"]
+in_sql("hashes_long", "SELECT c_custkey, sha224(c_name) AS s224, sha384(c_name) AS s384, sha512(c_name) AS s512 FROM {customer}")
 in_sql(
     "math_functions",
     """SELECT o_orderkey, round(sqlite_sqrt(o_totalprice), 6) AS root, sqlite_acos(o_totalprice) AS outside, round(sqlite_ln(o_totalprice), 6) AS ln, round(sqlite_log(2, o_totalprice), 6) AS log2, sqlite_sign(-o_totalprice) AS sgn,
@@ -260,7 +259,7 @@ def exact_percentiles(spark, t):
 
 @query("SELECT event_type, list_sort(list(value))[CAST(round((count(*) - 1) * 0.9) AS BIGINT) + 1] AS p90 FROM events GROUP BY 1")
 def nearest_rank_percentile(spark, t):
-    return t("events").groupBy("event_type").agg(histograms.nearest_rank("value", 90).alias("p90"))
+    return histograms.nearest_ranks(t("events"), ["event_type"], "value", 90, "p90")
 
 
 # --- windows, top rows, pages -------------------------------------------------------------------
@@ -315,7 +314,7 @@ def hot_threshold(spark, t):
 @query()
 def move_plan(spark, t):
     s = samples(t)
-    nodes = [r["node_key"] for r in s.select("node_key").distinct().orderBy("node_key").limit(100).collect()]
+    nodes = [r["node_key"] for r in s.select("node_key").distinct().orderBy("node_key").collect()]  # the fleet's nodes
     none = spark.createDataFrame([], "shard_id bigint, updated_at timestamp_ntz")
     moves = policy.propose(s, none, nodes, F.lit("2100-01-01").cast("timestamp"), floor=50.0, max_moves=20)
     return spark.createDataFrame([tuple(m.values()) for m in moves], "shard_id bigint, from_node string, to_node string, q_per_s double, threshold double")
@@ -653,3 +652,6 @@ def dirty_ages(spark, t):
 def warm_moves(spark, t):
     moves = t("customer").select(F.col("c_custkey").alias("shard_id"), F.concat(F.lit("n"), (F.col("c_custkey") % 5).cast("string")).alias("to_node"))
     return reports.affinity(moves, moves.filter("shard_id % 2 = 0").withColumnRenamed("to_node", "node_key"))
+
+
+from quillon import more_queries  # noqa: E402, F401  (it registers its queries here)

@@ -39,7 +39,7 @@ class Result:
 
 
 NAME = r'(?P<name>"[^"]+"|`[^`]+`|\[[^\]]+\]|\w+)'
-INSERT = re.compile(rf"(?is)(?:insert|(?P<replace>(?:replace|insert\s+or\s+replace)))\s+(?:or\s+replace\s+)?into\s+{NAME}\s*(?:\((?P<columns>[^()]*)\))?\s*(?P<query>(?:values|select|with|default)\b.*)")
+INSERT = re.compile(rf"(?is)(?:(?P<replace>replace|insert\s+or\s+replace)|insert)\s+into\s+{NAME}\s*(?:\((?P<columns>[^()]*)\))?\s*(?P<query>(?:values|select|with|default)\b.*)")
 RETURNING = re.compile(r"(?i)\breturning\b(?=[^']*$)")
 CREATE = re.compile(rf"(?is)create\s+table\s+(?P<maybe>if\s+not\s+exists\s+)?{NAME}\s*\((?P<columns>.*)\)$")
 DROP = re.compile(rf"(?is)drop\s+table\s+(?P<maybe>if\s+exists\s+)?{NAME}$")
@@ -255,7 +255,8 @@ class TenantSession:
         self._stage(name, after)
         if kept is None:
             return Result([], affected)
-        return Result(kept.selectExpr(*(dialect.translate(c) for c in [returning.strip()] if c != "*") or ["*"]).collect() if "," not in returning else kept.selectExpr(*(dialect.translate(c.strip()) for c in returning.split(","))).collect(), affected)
+        wanted = [dialect.translate(c.strip()) for c in returning.split(",")]
+        return Result(kept.selectExpr(*wanted).collect(), affected)
 
     def _define(self, text: str) -> Result:
         if m := CREATE.match(text):
