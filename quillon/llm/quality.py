@@ -7,11 +7,17 @@ number of strata times rules (Bonferroni); within a rule the order of tests is f
 testing stops at the first cutoff that fails and no further correction is due. All cutoffs that hold are good
 at once, so any choice among them keeps the guarantee: taken is the one that drops the most bad documents, then
 the fewest good ones, then the strictest. A rule that has none, or drops no bad document that the rules before it
-leave, is off in that stratum. All labelled rows take part.
+leave, is off in that stratum. All labelled rows take part, equal texts of a stratum once, as copies are no further draws.
 
-Edge cases: a null text has no words, so the base rules drop it; a null stratum is a stratum of its own;
-documents of strata without labels meet only the base rules; several labels of a document all count;
-an empty label table switches all rules off; extra columns pass through.
+``alpha`` can be certified from about ``log(1 / level) / alpha`` good texts on. A stratum with fewer has the alpha that its
+number of good texts can certify, up to ``LOOSEST``; that number is fixed before any outcome is looked at, so the
+guarantee stands at that alpha. It holds for each rule: all rules of a stratum together falsely reject at most as many times
+alpha as rules are on there.
+
+Edge cases: a null text has no words, so the base rules drop it; very long texts are measured whole; a null stratum is a
+stratum of its own; documents of strata without labels meet only the base rules; of several labels of a text the good
+one counts; ties between cutoffs go to the strictest; an empty label table switches all rules off; an empty table of
+documents gives an empty result; rows that repeat are judged each; extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,6 +44,8 @@ RULES = {
     "word_length_off": "abs(word_chars / greatest(n_words, 1) - 6) / 6",
 }
 CUTS = [round(2 - 0.05 * i, 2) for i in range(40)]
+#: The largest share of good documents that a rule may drop in a stratum with few labels.
+LOOSEST = 0.05
 
 
 def measures(text: bytes) -> tuple[int, int, int, int, int, int]:
@@ -86,6 +94,11 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(log_top) * total)
 
 
+def alpha_of(n: int, alpha: float, level: float) -> float:
+    """The alpha that n good documents can certify at the level, if they drop none: at least ``alpha``, at most LOOSEST."""
+    return min(max(alpha, 1 - level ** (1 / n)), max(alpha, LOOSEST)) if n else alpha
+
+
 def certified_cutoffs(counts: list[tuple[str | None, int, dict[str, list[int]]]], alpha: float, delta: float) -> dict[str | None, dict[str, list[float]]]:
     """The cutoffs that hold, mildest first. counts: stratum, good documents, and by rule how many of them each cutoff of CUTS drops."""
     level = delta / max(1, len(counts) * len(RULES))
@@ -93,7 +106,7 @@ def certified_cutoffs(counts: list[tuple[str | None, int, dict[str, list[int]]]]
     for stratum, n, dropped in counts:
         held[stratum] = {}
         for rule in RULES:
-            failed = next((i for i, k in enumerate(dropped[rule]) if n == 0 or binomial_tail(k, n, alpha) > level), len(CUTS))
+            failed = next((i for i, k in enumerate(dropped[rule]) if n == 0 or binomial_tail(k, n, alpha_of(n, alpha, level)) > level * (1 + 1e-9)), len(CUTS))
             held[stratum][rule] = CUTS[:failed]
     return held
 
@@ -111,7 +124,7 @@ def calibrate(measures_and_labels: DataFrame, stratum: str = "lang", alpha: floa
     Documents that fail the base rules go anyway and take no part. Rules are taken in turn, and each is
     chosen by the bad documents that those before it leave. Reaches the driver: a row per stratum and rule.
     """
-    rows = measures_and_labels.filter(F.col("quality").isin(0, 1) & ~base_failed())
+    rows = materialise(measures_and_labels.filter(F.col("quality").isin(0, 1) & ~base_failed()), "labelled")
     key = F.col(stratum).alias("stratum")
 
     def counted(part: DataFrame, rules: list[str]) -> dict[str | None, tuple[int, dict[str, list[int]]]]:
@@ -144,21 +157,29 @@ def verdict(cutoffs: dict[str | None, dict[str, float]], stratum: str = "lang")
     return ~F.coalesce(bad, F.lit(True))
 
 
-def joined_labels(narrow: DataFrame, labels: DataFrame) -> DataFrame:
-    return narrow.join(labels.select(F.col("doc_id"), F.col("quality").cast("int").alias("quality")), "doc_id")
+def joined_labels(narrow: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
+    """Measures with ``quality``, one row for each distinct text (``text_id``) of a stratum that has a label."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    measured_ = [F.first(m).alias(m) for m in MEASURES]
+    return narrow.join(known, "doc_id").filter(F.col("quality").isin(0, 1)).groupBy("text_id", stratum).agg(F.max("quality").alias("quality"), *measured_)
+
+
+def with_text_id(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.md5(text).alias("text_id"), "text")
 
 
 def judge_documents(docs: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
     """One row per document: doc_id, the measures, base_failed and kept."""
-    narrow = materialise(measured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")).drop("text"), "quality")
+    narrow = materialise(measured(with_text_id(docs)).drop("text"), "quality")
     cutoffs = calibrate(joined_labels(narrow, labels), "lang", alpha, delta)
     return narrow.withColumns({"base_failed": base_failed(), "kept": verdict(cutoffs)})
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
     """The documents that are kept, with their own columns, whatever their names."""
-    narrow = measured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")).drop("text")
-    cutoffs = calibrate(materialise(joined_labels(narrow, labels), "labelled"), "lang", alpha, delta)
+    with_label = with_text_id(docs).join(labels.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    cutoffs = calibrate(joined_labels(measured(with_label).drop("text"), labels), "lang", alpha, delta)
     plain = docs.toDF(*(f"c_{i}" for i in range(len(docs.columns))))
     place = {name: f"c_{i}" for i, name in enumerate(docs.columns)}
     kept = measured(plain, place["text"]).filter(verdict(cutoffs, place["lang"]))

@@ -245,6 +245,30 @@ def test_form_letters_that_share_a_passage_keep_their_own_copies(spark):
     assert sorted(x["doc_id"] for x in nearcopies.one_of_each(frame(spark, rows)).collect()) == list(range(0, 600, 2))
 
 
+def test_a_dense_cluster_at_the_threshold_keeps_its_components(spark):
+    r = random.Random(9)
+    base = [f"w{r.randrange(10**9)}" for _ in range(100)]
+    rows = []
+    for i in range(400):
+        copy = list(base)
+        for at in r.sample(range(100), r.choice([1, 2])):
+            copy[at] = f"x{r.randrange(10**9)}"
+        rows.append((i, " ".join(copy)))
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = nearcopies.similar_pairs([t for _, t in rows], 5, 0.8)
+    for i, j in pairs.itertuples(index=False):
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    assert len(pairs) > 10_000
+    assert sorted(x["doc_id"] for x in nearcopies.one_of_each(frame(spark, rows)).collect()) == [i for i in range(len(rows)) if find(i) == i]
+
+
 def test_shared_shingles_are_counted(monkeypatch):
     monkeypatch.setattr(nearcopies, "COUNTED", 7)
     r = random.Random(7)

@@ -9,8 +9,10 @@ import tiktoken
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quillon.llm import bpe, quality, simhash
+from tests import oracle
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_words string, fp string"
 
@@ -169,6 +171,27 @@ def test_cutoffs_keep_the_guarantee():
         assert quality.binomial_tail(dropped[rule][len(cuts)], n, 0.02) > 0.05 / 8
 
 
+def test_a_small_stratum_certifies_a_looser_alpha():
+    none = {rule: [0] * len(quality.CUTS) for rule in quality.RULES}
+    one = {rule: [0] * 20 + [1] * 20 for rule in quality.RULES}
+    held = quality.certified_cutoffs([("small", 300, none), ("one", 300, one), ("tiny", 60, none)], 0.01, 0.05)
+    level = 0.05 / 12
+    assert all(cuts == quality.CUTS for cuts in held["small"].values()) and all(cuts == quality.CUTS[:20] for cuts in held["one"].values()) and all(cuts == [] for cuts in held["tiny"].values())
+    loose = quality.alpha_of(300, 0.01, level)
+    assert 0.01 < loose < 0.02 and quality.binomial_tail(0, 300, loose) == pytest.approx(level) and quality.alpha_of(5000, 0.01, level) == 0.01 and quality.alpha_of(60, 0.01, level) == 0.05
+
+
+def test_cutoffs_act_in_every_language_of_the_test_table(spark):
+    sf = f"{oracle.ROOT}/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    judged = quality.judge_documents(docs, labels)
+    counts = {"good": "quality = 1", "lost": "quality = 1 AND NOT kept", "bad": "quality = 0", "caught": "quality = 0 AND NOT kept"}
+    sums = judged.join(labels, "doc_id").filter("NOT base_failed").groupBy("lang").agg(*(F.expr(f"count_if({c})").alias(n) for n, c in counts.items())).collect()
+    assert {r["lang"] for r in sums} == {"en", "de", "fr", "es"}
+    for r in sums:
+        assert r["caught"] >= 0.95 * r["bad"] and r["lost"] <= 0.01 * r["good"], r
+
+
 def test_best_cutoff_spares_good_documents():
     assert quality.best_cutoff([2.0, 1.0, 0.5, 0.1], [0, 4, 4, 4], [0, 0, 0, 3]) == 0.5
     assert quality.best_cutoff([2.0, 1.0], [0, 0], [0, 0]) is None
