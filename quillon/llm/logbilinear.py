@@ -5,19 +5,23 @@ predicts a symbol from the three tokens before it. The ``SINGLE`` most frequent
 own; all others fall into ``CLASSES`` symbols by their last two bytes, and a token's share within its symbol
 is its add-one count there. Context tokens have vectors of their own for the ``CONTEXT`` most frequent.
 
-Every task trains on its share of the training tokens from the same start (noise drawn from the symbols'
+Training documents are dealt to shards of about ``SHARD_TOKENS`` tokens by hash, so that neither the shards nor the order
+in them depends on how the table is laid out. Every shard trains from the same start (noise drawn from the symbols'
 frequencies, AdaGrad steps over minibatches); the parameters are then averaged, weighted by tokens, in a
 grouping by parameter row. Scoring multiplies whole batches of context vectors with all symbol vectors, so
 log-probabilities are normalised. Tokens outside the ``HEAD`` most frequent, which all tasks know, are joined
 with the counts through a shuffle, so counts of any size are exact.
 
-Edge cases: null and empty texts are one end token; a null doc_id is hashed as an empty text and takes part in
-training; without training documents the counts are empty and the symbols equally likely; rows that repeat
-are scored each; columns of the input other than doc_id and text are not used; empty tables give no rows.
+Edge cases: null and empty texts are one end token; very long texts are trained on and scored whole, in minibatches; a
+null doc_id is hashed as an empty text and takes part in training; without training documents the counts are empty and
+the symbols equally likely; of tokens that are equally frequent the smaller ranks first; rows that repeat are scored
+each; columns of the input other than doc_id and text are not used, so clashing names do no harm; empty tables give no
+rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -40,6 +44,8 @@ CONTEXT = 4096
 CONTEXT_ROWS = CONTEXT + CLASSES + 1
 WIDTH, ORDER, NOISE, STEP = 16, 3, 16, 0.1
 MINIBATCH = 8192
+#: Training tokens of a shard, and the most shards (then they grow).
+SHARD_TOKENS, MOST_SHARDS = 2_000_000, 65_536
 #: Rows of logits at once, so that they stay in a core's cache.
 SCORED_ROWS = 1024
 #: Tokens of texts that are encoded together.
@@ -151,11 +157,11 @@ def together(texts: list[bytes]) -> Iterator[tuple[int, list[list[bytes]]]]:
         yield first, words
 
 
-_vocabularies: dict[int, Vocabulary] = {}
+_vocabularies: dict[bytes, Vocabulary] = {}
 
 
 def vocabulary_of(tokens: list[bytes]) -> Vocabulary:
-    key = zlib.crc32(b" ".join(tokens))
+    key = hashlib.sha256(b" ".join(tokens)).digest()  # tokens hold no space
     if key not in _vocabularies:
         _vocabularies.clear()
         _vocabularies[key] = Vocabulary(tokens)
@@ -245,9 +251,17 @@ class Model:
         return out / np.log(10)
 
 
+def sharded(training: DataFrame, shards: int) -> DataFrame:
+    """The texts, a partition a shard, in an order that follows from the rows alone."""
+    content = F.xxhash64(F.col("text"))
+    dealt = training.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard"))
+    return dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("doc_id", content).select("text")
+
+
 def train(training: DataFrame, head: list[bytes], frequency: np.ndarray) -> Model:
-    """The average of the models that the tasks trained, weighted by their tokens."""
+    """The average of the models that the shards trained, weighted by their tokens."""
     spark = training.sparkSession
+    shards = int(min(MOST_SHARDS, max(1, frequency.sum() // SHARD_TOKENS)))
     shared = spark.sparkContext.broadcast((head, frequency))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +279,7 @@ def train(training: DataFrame, head: list[bytes], frequency: np.ndarray) -> Mode
             flat = pa.array(np.pad(values, ((0, 0), (0, WIDTH - width))).ravel(), pa.float32())
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, seen, np.int64)), pa.FixedSizeListArray.from_arrays(flat, WIDTH).cast(pa.list_(pa.float32()))], ["part", "line", "seen", "values"])
 
-    rows = training.select("text").mapInArrow(run, "part int, line int, seen long, values array<float>")
+    rows = sharded(training, shards).mapInArrow(run, "part int, line int, seen long, values array<float>")
     mean = [(F.sum(F.col("seen") * F.col("values")[d]) / F.sum("seen")).alias(f"v{d}") for d in range(WIDTH)]
     model = Model(frequency)
     for row in rows.groupBy("part", "line").agg(*mean).collect():

@@ -119,6 +119,17 @@ def test_token_counts_and_base_scores(spark):
     assert {d: sorted(x) for d, x in got.items()} == {d: sorted(x) for d, x in want.items()}
 
 
+def test_scores_do_not_depend_on_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(logbilinear, "SHARD_TOKENS", 700)
+    rows = some_rows(3, 90) + [(7000, "long " * 30_000)]
+    found = []
+    for parts in (1, 5):
+        scored = logbilinear.score_documents(frame(spark, rows).repartition(parts)).collect()
+        found.append(sorted((str(r["doc_id"]), r["n_tokens"], round(r["base_score"], 6), r["score"]) for r in scored))
+    assert [a[:3] for a in found[0]] == [b[:3] for b in found[1]]
+    assert all(abs(a[3] - b[3]) <= 1e-5 * abs(a[3]) for a, b in zip(*found, strict=True))
+
+
 def test_rare_tokens_are_counted_exactly(spark, monkeypatch):
     monkeypatch.setattr(logbilinear, "HEAD", 4)
     test_token_counts_and_base_scores(spark)
