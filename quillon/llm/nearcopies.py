@@ -13,8 +13,8 @@ shared) are kept, and each is verified by the Jaccard similarity of the whole sh
 than ``DENSE`` texts first meets the list's centre only, the text with the most company in all its lists of the same
 level. Once components have joined what was found so far, texts of a long list that are still apart are compared,
 all with all in blocks: the largest component of the list makes blocks of its own, which don't meet each other, and
-a task takes one pair of blocks. So every pair of a long list is verified or connected. Texts enter once, whatever
-their copies.
+a task takes one pair of blocks. In it only pairs that share one of their rarest shingles, as texts of that similarity
+must, are counted. So every pair of a long list is verified or connected. Texts enter once, whatever their copies.
 
 Edge cases: null and empty texts are copies of the empty text; texts under five words are one shingle; of equal
 rows one stays; null doc_ids lose against known ones; extra columns pass through, whatever their names; empty
@@ -38,8 +38,10 @@ from .simhash import components, shingle_hashes
 POSITIONS, SHARED, DENSE = 32, 3, 12
 #: Members of a long list that meet its centre in one group.
 PORTION = 128
-#: Texts of a block of a long list, and shingles that are counted at once for two blocks.
-BLOCK, COUNTED = 128, 8192
+#: Shingles of a block of a long list, and what a text counts beside its own.
+BLOCK, TEXT = 1 << 20, 512
+#: Texts of a side of a tile, pairs of a tile that are compared one by one, and shingles that are counted at once for a tile.
+TILE, FEW, COUNTED = 128, 256, 8192
 KEYS = "tid binary, n int, positions int, keys array<long>, z binary"
 
 
@@ -170,44 +172,90 @@ def shared_shingles(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return found
 
 
+def sharing_prefixes(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Symmetric matrix of the pairs of sets that may have the similarity, as their rarest shingles have one in common.
+
+    Sets of that similarity share at least similarity * n shingles of either, so the n - that + 1 rarest of both meet.
+    """
+    sizes = np.array([len(x) for x in sets])
+    place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    what, who = rank[place], np.repeat(np.arange(len(sets)), sizes)
+    order = np.lexsort((what, who))
+    nth = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    order = order[nth < np.repeat(sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1, sizes)]
+    order = order[np.argsort(what[order], kind="stable")]
+    what, who = what[order], who[order]
+    starts = np.flatnonzero(np.r_[True, what[1:] != what[:-1]])
+    ends = np.r_[starts[1:], len(what)]
+    found = np.zeros((len(sets), len(sets)), bool)
+    met: set[bytes] = set()
+    for start, end in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
+        together = who[start:end]
+        if (name := together.tobytes()) not in met:  # a passage gives the same texts many times
+            met.add(name)
+            found[np.ix_(together, together)] = True
+    return found
+
+
+def similar(sets: list[np.ndarray], may: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
+    """The pairs (i, j) of ``may`` whose sets have the similarity; tiles with many pairs are counted as matrix products."""
+    n = np.array([len(x) for x in sets])
+    for i in range(0, len(sets), TILE):
+        for j in range(0, len(sets), TILE):
+            tile = may[i : i + TILE, j : j + TILE]
+            pairs = np.argwhere(tile) + [i, j]
+            if len(pairs) > FEW:
+                a, b = np.flatnonzero(tile.any(axis=1)) + i, np.flatnonzero(tile.any(axis=0)) + j
+                both = np.zeros(tile.shape, np.float32)
+                both[np.ix_(a - i, b - j)] = shared_shingles([sets[x] for x in a.tolist()], [sets[x] for x in b.tolist()])
+                shared = both[tile]
+            else:
+                shared = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in pairs.tolist()])
+            if len(pairs):
+                yield from map(tuple, pairs[shared >= similarity * (n[pairs].sum(axis=1) - shared) - 1e-9].tolist())
+
+
 def left_apart(large: DataFrame, roots: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
     """Links (a, b) between the roots of texts that share a long list, have the similarity and are not connected.
 
-    large: key, tid, size of the list; roots: node, root.
+    large: key, tid, n, size of the list; roots: node, root.
     """
     session(texts.sparkSession)
     root = F.coalesce("root", "tid")
-    members = materialise(large.select("key", "tid", "size").join(roots, F.col("tid") == F.col("node"), "left").select("key", "tid", root.alias("root"), "size"), "members")
-    parts = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("tid")).alias("texts"))
-    lists = parts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("size"), F.bit_xor("texts").alias("texts"))
+    members = materialise(large.select("key", "tid", "n", "size").join(roots, F.col("tid") == F.col("node"), "left").select("key", "tid", root.alias("root"), "n", "size"), "members")
+    weight = F.sum(F.col("n") + F.lit(TEXT).cast("long"))
+    parts = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), weight.alias("weight"), F.bit_xor(F.xxhash64("tid")).alias("texts"))
+    lists = parts.groupBy("key").agg(F.max_by("root", F.struct("weight", "root")).alias("main"), F.max("weight").alias("most"), F.sum("weight").alias("weight"), F.sum("n").alias("size"), F.bit_xor("texts").alias("texts"))
     # lists of the same texts count once
-    lists = lists.filter("size > most").groupBy("texts", "size").agg(F.min_by(F.struct("key", "main", "most"), "key").alias("l"))
-    mains, rest = F.ceil(F.col("l.most") / BLOCK).cast("int"), F.ceil((F.col("size") - F.col("l.most")) / BLOCK).cast("int")
+    lists = lists.filter("weight > most").groupBy("texts", "size").agg(F.min_by(F.struct("key", "main", "most", "weight"), "key").alias("l"))
+    mains, rest = F.ceil(F.col("l.most") / BLOCK).cast("int"), F.ceil((F.col("l.weight") - F.col("l.most")) / BLOCK).cast("int")
     portions = F.ceil(F.col("size") / PORTION).cast("int")
     lists = lists.select("l.key", "l.main", mains.alias("mains"), rest.alias("rest"), F.explode(F.sequence(F.lit(0), portions - 1)).alias("portion"))
-    dealt = members.withColumn("portion", F.pmod(F.xxhash64("tid"), portions).cast("int")).drop("size").join(lists, ["key", "portion"])
+    dealt = members.withColumn("portion", F.pmod(F.xxhash64("tid"), portions).cast("int")).drop("n", "size").join(lists, ["key", "portion"])
     place, inside = F.xxhash64("tid", "key"), F.col("root") == F.col("main")
     own = F.when(inside, F.col("rest") + F.pmod(place, "mains")).otherwise(F.pmod(place, "rest")).cast("int")
     last = F.when(inside, F.col("rest")).otherwise(F.col("rest") + F.col("mains")) - 1
-    placed = dealt.select("key", "tid", "root", own.alias("own"), last.alias("last")).join(texts.select("tid", "n", "z"), "tid")
-    facing = placed.select("key", "root", "n", "z", "own", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
-    facing = facing.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "root", "n", "z")
+    placed = dealt.select("key", "tid", "root", own.alias("own"), last.alias("last")).join(texts.select("tid", "z"), "tid")
+    facing = placed.select("key", "root", "z", "own", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
+    facing = facing.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "root", "z")
 
     def run(group: pa.Table) -> pa.Table:
         low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
-        own, n = group.column("own").to_numpy(), group.column("n").to_numpy().astype(np.int64)
-        name = np.array(group.column("root").to_pylist() + [None], object)[:-1]
+        own, name = group.column("own").to_numpy(), group.column("root").to_pylist()
         kind = np.unique(np.array([x.hex() for x in name]), return_inverse=True)[1]
-        a, b = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        may = (kind[a][:, None] != kind[b]) & (np.minimum(n[a][:, None], n[b]) >= similarity * np.maximum(n[a][:, None], n[b]))
-        a, b, may = a[may.any(axis=1)], b[may.any(axis=0)], may[may.any(axis=1)][:, may.any(axis=0)]
+        may = (own == low)[:, None] & (own == high) & (kind[:, None] != kind)
         links: set[tuple[bytes, bytes]] = set()
-        if len(a):
-            unpack, z = zstandard.ZstdDecompressor(), group.column("z")
-            sets = {i: shingle_set(unpack.decompress(z[i].as_py()), size) for i in {*a.tolist(), *b.tolist()}}
-            both = shared_shingles([sets[i] for i in a.tolist()], [sets[i] for i in b.tolist()])
-            alike = may & (both >= similarity * (n[a][:, None] + n[b] - both) - 1e-9)
-            links = {(name[a[i]], name[b[j]]) for i, j in np.argwhere(alike)}
+        if may.any():
+            unpack = zstandard.ZstdDecompressor()
+            sets = [shingle_set(unpack.decompress(z.as_py()), size) for z in group.column("z")]
+            may &= sharing_prefixes(sets, similarity)
+            n = np.array([len(x) for x in sets])
+            may &= np.minimum(n[:, None], n) >= similarity * np.maximum(n[:, None], n)
+            if low == high:
+                may = np.triu(may)
+            links = {(name[i], name[j]) for i, j in similar(sets, may, similarity)}
         return pa.table([pa.array([x for x, _ in links], pa.binary()), pa.array([x for _, x in links], pa.binary())], names=["a", "b"])
 
     return facing.groupBy("key", "low", "high").applyInArrow(run, "a binary, b binary")

@@ -256,7 +256,9 @@ def test_form_letters_that_share_a_passage_keep_their_own_copies(spark):
     assert sorted(x["doc_id"] for x in nearcopies.one_of_each(frame(spark, rows)).collect()) == list(range(0, 600, 2))
 
 
-def test_a_dense_cluster_at_the_threshold_keeps_its_components(spark):
+@pytest.mark.parametrize("block", [1 << 13, nearcopies.BLOCK])
+def test_a_dense_cluster_at_the_threshold_keeps_its_components(spark, monkeypatch, block):
+    monkeypatch.setattr(nearcopies, "BLOCK", block)
     r = random.Random(9)
     base = [f"w{r.randrange(10**9)}" for _ in range(100)]
     rows = []
@@ -280,6 +282,24 @@ def test_a_dense_cluster_at_the_threshold_keeps_its_components(spark):
     assert sorted(x["doc_id"] for x in nearcopies.one_of_each(frame(spark, rows)).collect()) == [i for i in range(len(rows)) if find(i) == i]
 
 
+@pytest.mark.parametrize("few", [0, 40, 1 << 20])
+@pytest.mark.parametrize("changes", [3, 6, 12])
+def test_prefixes_lose_no_similar_pair(monkeypatch, few, changes):
+    monkeypatch.setattr(nearcopies, "FEW", few)
+    monkeypatch.setattr(nearcopies, "TILE", 16)
+    r = random.Random(changes)
+    base = [f"w{r.randrange(500)}" for _ in range(100)]
+    texts = ["", "one two", "one two"]
+    for _ in range(80):
+        copy = base[: r.choice([5, 60, 90, 100])]
+        for at in r.choices(range(len(copy)), k=r.randrange(changes)):
+            copy[at] = f"v{r.randrange(3000)}"
+        texts.append(" ".join(copy))
+    sets = [nearcopies.shingle_set(t.encode(), 5) for t in texts]
+    may = np.triu(nearcopies.sharing_prefixes(sets, 0.8), 1)
+    assert sorted(nearcopies.similar(sets, may, 0.8)) == sorted(nearcopies.similar_pairs(texts, 5, 0.8).itertuples(index=False, name=None))
+
+
 def test_shared_shingles_are_counted(monkeypatch):
     monkeypatch.setattr(nearcopies, "COUNTED", 7)
     r = random.Random(7)
