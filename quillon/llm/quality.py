@@ -178,9 +178,12 @@ def judge_documents(docs: DataFrame, labels: DataFrame, alpha: float = 0.01, del
 
 def filter_documents(docs: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
     """The documents that are kept, with their own columns, whatever their names."""
-    with_label = with_text_id(docs).join(labels.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    cutoffs = calibrate(joined_labels(measured(with_label).drop("text"), labels), "lang", alpha, delta)
     plain = docs.toDF(*(f"c_{i}" for i in range(len(docs.columns))))
     place = {name: f"c_{i}" for i, name in enumerate(docs.columns)}
-    kept = measured(plain, place["text"]).filter(verdict(cutoffs, place["lang"]))
+    # measured and written once, as texts are too long to be shuffled to their labels
+    rows = materialise(measured(plain, place["text"]), "quality")
+    text = F.coalesce(F.col(place["text"]), F.lit("")).cast("binary")
+    narrow = rows.select(F.col(place["doc_id"]).cast("long").alias("doc_id"), F.col(place["lang"]).alias("lang"), F.md5(text).alias("text_id"), *MEASURES)
+    cutoffs = calibrate(joined_labels(narrow, labels), "lang", alpha, delta)
+    kept = rows.filter(verdict(cutoffs, place["lang"]))
     return kept.select(*(F.col(f"c_{i}").alias(name) for i, name in enumerate(docs.columns)))
